@@ -26,7 +26,7 @@ def p1_trailing_totals(spark: SparkSession, d: str) -> DataFrame:
     t = _daily_temperatures(spark, d)
     return t.select(
         "location", F.date_format("date", "yyyy-MM-dd").alias("day"), "n_records", (F.col("n") > 0).alias("observed"),
-        *[F.round(f"{k}_{w}", 4).alias(f"{k}_{w}") for w in (7, 30) for k in ("sum", "mean")], *[F.col(f"{k}_{w}") for w in (7, 30) for k in ("min", "max", "n")],
+        *[F.round(F.col(f"{k}_{w}") + 1e-9, 4).alias(f"{k}_{w}") for w in (7, 30) for k in ("sum", "mean")], *[F.col(f"{k}_{w}") for w in (7, 30) for k in ("min", "max", "n")],
     )
 
 
@@ -47,8 +47,8 @@ P1_SQL = {
     "p1_trailing_totals": _P1_DAYS
     + """
 select location, strftime(date, '%Y-%m-%d') as day, n_records, n > 0 as observed,
-  round(sum(s) over a, 4) as sum_7, round(sum(s) over a / sum(n) over a, 4) as mean_7,
-  round(sum(s) over b, 4) as sum_30, round(sum(s) over b / sum(n) over b, 4) as mean_30,
+  round(sum(s) over a + 1e-9, 4) as sum_7, round(sum(s) over a / sum(n) over a + 1e-9, 4) as mean_7,
+  round(sum(s) over b + 1e-9, 4) as sum_30, round(sum(s) over b / sum(n) over b + 1e-9, 4) as mean_30,
   min(mn) over a as min_7, max(mx) over a as max_7, cast(sum(n) over a as bigint) as n_7,
   min(mn) over b as min_30, max(mx) over b as max_30, cast(sum(n) over b as bigint) as n_30
 from full_days
