@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.impute import Category, Number, fill_missing_values, present
 from strandline.operators.orphans import Reference, folded_name, orphan_cascade, orphan_report
+from strandline.operators.percentiles import merge_sketches, read_percentiles, sketch_groups
+from strandline.operators.regular_grid import regular_grid
+from strandline.operators.spikes import Readings, implausible_readings
 from strandline.operators.trailing import trailing_totals
 from strandline.sources.tables import table
 
@@ -123,5 +127,125 @@ select distinct holiday_id from names h where kind in ('local', 'regional') and
 }
 
 
-QUERIES = {"p1_found": p1_found, "p1_trailing_totals": p1_trailing_totals, "p4_found": p4_found, "p4_report": p4_report, "p4_cascade": p4_cascade}
-SQL = {**P1_SQL, **P4_SQL}
+# 2 filling missing values ---------------------------------------------------------------------------------------
+
+_SITES = ("indoor", "outdoor", "roadside", "industrial")
+_ENV = (
+    Number("temp_C", -60, 60),
+    Number("humidity_pct", 0, 100),
+    Number("pm25_ugm3", 0, 2000),
+    Number("co2_ppm", 150, 20000),
+    Number("pressure_hPa", 300, 1100, target=False),
+    Category("site_type", _SITES),
+)
+
+
+def p2_filled(spark: SparkSession, d: str) -> DataFrame:
+    return fill_missing_values(table(spark, d, "environmental_sensors_missing"), "station_id", "timestamp", "reading_id", _ENV)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    marks = [F.when(F.col(f"{f.name}_filled"), F.lit(f.name)) for f in _ENV if f.target]
+    return p2_filled(spark, d).select("reading_id", F.explode(F.array_compact(F.array(*marks))).alias("field")).distinct()
+
+
+P2_SQL = {
+    "p2_found": " union ".join(
+        f"select reading_id, '{f.name}' as field from environmental_sensors_missing where {f.name} is null or isnan({f.name}) or {f.name} < {f.lo} or {f.name} > {f.hi}" for f in _ENV if isinstance(f, Number) and f.target
+    )
+    + f" union select reading_id, 'site_type' from environmental_sensors_missing where site_type is null or site_type not in {_SITES}"
+}
+
+
+# 3 regular grid --------------------------------------------------------------------------------------------------
+
+
+def _station_grid(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "environmental_sensors_missing")
+    clean = df.select("reading_id", "station_id", "timestamp", *[present(f, F.col(f.name)).alias(f.name) for f in _ENV if isinstance(f, Number)])
+    return regular_grid(clean, "station_id", "timestamp", [f.name for f in _ENV if isinstance(f, Number)], "reading_id", table(spark, d, "sensor_stations"))
+
+
+def _oil_grid(spark: SparkSession, d: str) -> DataFrame:
+    return regular_grid(table(spark, d, "oil").select("series_code", "date", "dcoilwtico"), "series_code", "date", ["dcoilwtico"], default_minutes=1440)
+
+
+def p3_station_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _station_grid(spark, d)
+
+
+def p3_oil_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _oil_grid(spark, d)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    at = F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot")
+    stations = _station_grid(spark, d).where("missing").select(F.col("station_id").alias("series"), at)
+    oil = _oil_grid(spark, d).where("dcoilwtico_n = 0").select(F.col("series_code").alias("series"), at)
+    return stations.unionByName(oil)
+
+
+P3_SQL = {
+    "p3_found": """
+with rec as (select e.station_id, cadence_minutes * 60 as p, cast(floor(epoch(timestamp)) as bigint) as s
+             from environmental_sensors_missing e join sensor_stations using (station_id)),
+slots as (select distinct station_id, p, s // 86400 * 86400 + (s % 86400) // p * p as slot from rec),
+span as (select station_id, p, min(slot) lo, max(slot) hi from slots group by 1, 2),
+grid as (select station_id, unnest(generate_series(lo, hi, p)) as slot from span),
+days as (select series_code, min(date) lo, max(date) hi from oil group by 1),
+oil_grid as (select series_code, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date from days)
+select station_id as series, strftime(make_timestamp(slot * 1000000), '%Y-%m-%d %H:%M:%S') as slot from grid g
+where not exists (select 1 from slots s where s.station_id = g.station_id and s.slot = g.slot)
+union all
+select series_code, strftime(date, '%Y-%m-%d 00:00:00') from oil_grid g
+where not exists (select 1 from oil o where o.series_code = g.series_code and o.date = g.date and o.dcoilwtico is not null and not isnan(o.dcoilwtico))"""
+}
+
+
+# 5 percentiles --------------------------------------------------------------------------------------------------
+
+_QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
+
+
+def _pm25(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "climate_pm25_timeseries")
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per location, from sketches of the whole table's partitions."""
+    sketches = sketch_groups(_pm25(spark, d).select("reading_id", "location", "pm25_ugm3"), ["location"], "pm25_ugm3", "reading_id")
+    return read_percentiles(sketches, ["location"], _QUANTILES)
+
+
+def p5_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """The same from sketches of separate days, merged."""
+    days = _pm25(spark, d).select("reading_id", "location", F.to_date("timestamp").alias("day"), "pm25_ugm3")
+    return read_percentiles(merge_sketches(sketch_groups(days, ["location", "day"], "pm25_ugm3", "reading_id"), ["location"]), ["location"], _QUANTILES)
+
+
+# 6 implausible measurements -------------------------------------------------------------------------------------
+
+
+def p6_flagged(spark: SparkSession, d: str) -> DataFrame:
+    pm = table(spark, d, "climate_pm25_timeseries").select("reading_id", "sensor_id", "timestamp", "pm25_ugm3")
+    iot = table(spark, d, "iot_sensors_multiseries").select("reading_id", "device_id", "timestamp", "sensor_01")
+    return implausible_readings(
+        [
+            Readings("climate_pm25_timeseries", pm, "sensor_id", "timestamp", "reading_id", "pm25_ugm3", 0, 1000),
+            Readings("iot_sensors_multiseries", iot, "device_id", "timestamp", "reading_id", "sensor_01", -50, 150),
+        ]
+    )
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_flagged(spark, d).select("table_name", F.col("record_id").alias("reading_id")).distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_trailing_totals": p1_trailing_totals, "p2_found": p2_found, "p2_filled": p2_filled,
+    "p3_found": p3_found, "p3_station_grid": p3_station_grid, "p3_oil_grid": p3_oil_grid,
+    "p4_found": p4_found, "p4_report": p4_report, "p4_cascade": p4_cascade,
+    "p5_percentiles": p5_percentiles, "p5_merged_days": p5_merged_days,
+    "p6_found": p6_found, "p6_flagged": p6_flagged,
+}
+SQL = {**P1_SQL, **P2_SQL, **P3_SQL, **P4_SQL}
