@@ -75,13 +75,10 @@ def runs_of_equals(y: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
-def spike_mask(y: np.ndarray, z: np.ndarray, candidate: float, threshold: float, stuck: np.ndarray) -> np.ndarray:
+def spike_mask(y: np.ndarray, z: np.ndarray, variance: float, candidate: float, threshold: float) -> np.ndarray:
     """Which candidates (innovation beyond ``candidate``) lie beyond ``threshold`` scatters of the level around them and are back within a few readings."""
-    s2, _ = scatter_and_walk(y[~stuck] if (~stuck).sum() >= 8 else y)
     out = np.zeros(len(y), dtype=bool)
-    if not np.isfinite(s2):
-        return out
-    s = np.sqrt(s2)
+    s = np.sqrt(variance)
     skip = np.abs(np.nan_to_num(z)) > candidate
     for _ in range(2):
         level = _median_without(y, 5, skip)
@@ -109,7 +106,8 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
     and withheld from the filter; after a few withheld in a row the level has moved and the filter starts again.
     A candidate is a spike where it is further than ``threshold`` scatters from the median of the readings around
     it and the excursion ends within a few readings. Innovation variance that vanishes shows as runs of equal
-    values: 12 or more, with missing values passed over, are stuck.
+    values: 12 or more, with missing values passed over, are stuck. Impossible and stuck readings are kept from the
+    filter.
 
     Null and NaN are passed over. Rows with the same source, time and id are one record. Null sources are one
     source; rows without time or id are left out. Sources with fewer than eight readings have no spikes. Empty
@@ -158,12 +156,11 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
             groups = []
             for a, b in zip(at[:-1], at[1:]):
                 stuck = runs_of_equals(y[a:b]) >= STUCK_RUN
-                use = np.flatnonzero(possible[a:b])
+                use = np.flatnonzero(possible[a:b] & ~stuck)  # what is normal is learned from the others
                 why[a:b][stuck] = 2
                 if len(use) >= 8:
-                    still = stuck[use]
                     x = y[a:b][use]
-                    groups.append((a + use, x, still, *scatter_and_walk(x[~still] if (~still).sum() >= 8 else x)))
+                    groups.append((a + use, x, *scatter_and_walk(x)))
             groups.sort(key=lambda g: len(g[0]))
             i = 0
             while i < len(groups):
@@ -174,11 +171,11 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
                 grid = np.full((len(part[-1][0]), len(part)), np.nan)
                 for c, g in enumerate(part):
                     grid[: len(g[0]), c] = g[1]
-                z = local_level_innovations(grid, np.array([g[3] for g in part]), np.array([g[4] for g in part]), candidate)
+                z = local_level_innovations(grid, np.array([g[2] for g in part]), np.array([g[3] for g in part]), candidate)
                 for c, g in enumerate(part):
                     zc = z[: len(g[0]), c]
                     zs[g[0]] = zc
-                    why[g[0][spike_mask(g[1], zc, candidate, threshold, g[2]) & (why[g[0]] == 0)]] = 3
+                    why[g[0][spike_mask(g[1], zc, g[2], candidate, threshold)]] = 3
             why[~possible] = 1
             hit = np.flatnonzero((why > 0) & own)
             if len(hit):
