@@ -333,3 +333,34 @@ def leak_candidates(
         part = docs.select(doc_id, text).mapInArrow(search, out)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def leaked_passages(
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None,
+    least_words: int = 29, least_matched: float = 0.8, least_rare: float = 0.45, least_seeds: int = 12,
+) -> DataFrame:
+    """Pairs of a text and a held-out passage that it contains, wholly or in part: distinct ``doc_id``, ``item_id`` with the
+    figures of :func:`leak_candidates`.
+
+    Texts and passages are compared by words, without case, accents, markup, layout and characters that were coded
+    twice. A first pass over the corpus counts in how many different ``group`` values (rulings, not their versions)
+    each run of four passage words occurs; runs in more than ``stock_share`` of them are stock. A second pass sorts
+    the suffixes of each shard that begin with a rarer run (a suffix array of the positions that can match), finds
+    every passage suffix in it by binary search, and draws the matches out to their full length. The matches of a
+    pair are then aligned: chained, filled up over altered words and drawn out at the ends. A pair counts where the
+    aligned part spans ``least_words`` words of the passage (one below the stated 30, as an altered first or last word
+    can't be seen), most of its words agree and so do its rare runs, which tells it from stock formulas and from
+    other texts made after the same patterns.
+
+    Null and empty texts or passages match nothing; rows without id give a null id. Repeated rows give one pair.
+    Passages are held in blocks of bounded size, each block sent to all tasks, and the corpus is read once per pass
+    and block; whole texts are read, and no text is ever shuffled.
+    """
+    c = leak_candidates(docs, items, doc_id, text, item_id, passage, group)
+    keep = c.where((F.col("n_words") >= least_words) & (F.col("matched") >= least_matched) & (F.col("rare") >= least_rare) & (F.col("n_rare") >= least_seeds))
+    return keep.groupBy(doc_id, item_id).agg(F.max("n_words").alias("n_words"), F.max("matched").alias("matched"), F.max("rare").alias("rare"), F.max("n_rare").alias("n_rare"))
+
+
+def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str) -> DataFrame:
+    """The corpus without the affected texts (rows without id stay)."""
+    return docs.join(leaks.select(doc_id).distinct(), doc_id, "left_anti")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm.leak import leak_candidates
+from strandline.llm.leak import leaked_passages, without_leaks
 from strandline.llm.pack import pack_texts
 from strandline.sources.tables import table
 
@@ -14,9 +15,24 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "doc_id", "text", 2048)
 
 
-def p8_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return leak_candidates(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "passage", "docket_no")
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "docket_no")
+    return leaked_passages(docs, table(spark, d, "eval_items"), "doc_id", "text", "item_id", "passage", "docket_no")
 
 
-QUERIES = {"p7_containers": p7_containers, "p8_candidates": p8_candidates}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which held-out items leaked, into how many rulings, and the longest part."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the rulings left when the affected ones are removed."""
+    return without_leaks(table(spark, d, "documents").select("doc_id", "source"), _leaks(spark, d), "doc_id")
+
+
+QUERIES = {"p7_containers": p7_containers, "p8_found": p8_found, "p8_items": p8_items, "p8_clean_corpus": p8_clean_corpus}
 SQL: dict[str, str] = {}

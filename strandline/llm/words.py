@@ -29,6 +29,7 @@ def clean(text: str | None) -> str:
         if "Ã" in text or "Â" in text or "â" in text:
             text = _BROKEN.sub(_mend, text)
         text = _UNSEEN.sub("", text) if _UNSEEN.search(text) else text
+        text = unicodedata.normalize("NFC", text)
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
     if "-\n" in text or "- \n" in text or "‐" in text:
