@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.leak import leaked_passages, without_leaks
 from strandline.llm.pack import pack_texts
+from strandline.llm.subjects import subject_areas
 from strandline.sources.tables import table
 
 
@@ -34,5 +35,22 @@ def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents").select("doc_id", "source"), _leaks(spark, d), "doc_id")
 
 
-QUERIES = {"p7_containers": p7_containers, "p8_found": p8_found, "p8_items": p8_items, "p8_clean_corpus": p8_clean_corpus}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "docket_no")
+    return subject_areas(docs, table(spark, d, "subject_examples"), "doc_id", "text", "text", "subject_code", "docket_no")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject_code").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Rulings and sentences about the facts per subject."""
+    return _subjects(spark, d).groupBy("subject_code").agg(F.count("*").alias("n_docs"), F.round(F.sum(F.col("share") * F.col("n_facts")), 0).alias("n_sentences"))
+
+
+QUERIES = {
+    "p7_containers": p7_containers, "p8_found": p8_found, "p8_items": p8_items, "p8_clean_corpus": p8_clean_corpus,
+    "p9_found": p9_found, "p9_composition": p9_composition,
+}
 SQL: dict[str, str] = {}
