@@ -266,7 +266,7 @@ def seed_spread(df: DataFrame, text: str, group: str, p: Passages) -> tuple[np.n
 
 
 def leak_candidates(
-    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None, stock_share: float = 0.01, stock_floor: float = 20, least_seeds: int = 4
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None, stock_share: float = 0.01, stock_floor: float = 20, least_seeds: int = 8
 ) -> DataFrame:
     """Aligned places of passages in texts: ``doc_id``, ``item_id``, ``n_words`` (span in the passage's words as parted
     by spaces), ``matched`` (share of the span's words found), ``rare`` (share of its rare seeds found), ``n_rare``.
