@@ -83,6 +83,15 @@ class SubjectModel:
     bias: np.ndarray
     limits: np.ndarray
 
+    def __getstate__(self) -> dict:
+        used = np.flatnonzero(self.weights.any(axis=1))
+        return {"codes": self.codes, "used": used, "rows": self.weights[used], "bias": self.bias, "limits": self.limits}
+
+    def __setstate__(self, state: dict) -> None:
+        self.codes, self.bias, self.limits = state["codes"], state["bias"], state["limits"]
+        self.weights = np.zeros((BUCKETS, len(self.bias)), dtype=np.float32)
+        self.weights[state["used"]] = state["rows"]
+
     def scores(self, f: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log-odds per sentence."""
         out = np.zeros((len(n), len(self.bias)), dtype=np.float32)
@@ -274,7 +283,7 @@ def subject_areas(
         if len(chosen) < max_rulings:
             chosen.setdefault(r["g"], r["id"])
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen.values()], T.StructType([T.StructField("_id", docs.schema[doc_id].dataType)]))
-    sample = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi").select(doc_id, text).orderBy(doc_id, text).limit(max_rulings)  # at most max_rulings ids
+    sample = docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi").orderBy(doc_id, text).limit(max_rulings)  # at most max_rulings ids
     model = fit_subjects(rows, [r[1] for r in sample.collect()]) if rows else SubjectModel([], np.zeros((BUCKETS, 1), dtype=np.float32), np.full(1, -1.0, dtype=np.float32), np.zeros(0))
     out = T.StructType([docs.schema[doc_id], T.StructField("subject_code", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("n_facts", T.LongType())])
 
