@@ -12,9 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
 from strandline.functions.times import utc_micros
+from strandline.runtime import materialize
 
 #: Rows up to which a series is worked on whole.
 WHOLE_ROWS = 4_000_000
+#: For ``whole_rows``: the caller has counted, no series is longer than a task can hold.
+KNOWN_SHORT = 1 << 62
 
 
 @dataclass
@@ -60,15 +63,16 @@ def blocks(df: DataFrame, order: Sequence[str], series: Sequence[str] = (), look
     Series of up to ``whole_rows`` rows are windows by ``series`` as usual. If one is longer, rows are counted by
     series and slice of the first order column; consecutive slices form blocks of about ``whole_rows`` rows, and each
     slice whose rows a neighbouring block's windows reach is sent to that block too. So no task holds more than a
-    block, whatever share of the rows a series has. Rows with equal order columns must not matter to the caller.
+    block, whatever share of the rows a series has. The rows are written out once before they are sliced. Rows with equal order columns must not matter to the caller.
     """
     order, series = list(order), list(series)
     limit = WHOLE_ROWS if whole_rows is None else whole_rows
-    if longest(df, series) <= limit:
+    if limit == KNOWN_SHORT or longest(df, series) <= limit:
         keys = series
         if not series:
             df, keys = df.withColumn("_block", F.lit(0)), ["_block"]
         return Blocks(df, keys, order, series, False)
+    df = materialize(df, "series")  # read several times below
     where = _position(df, order[0])
     lo, hi, n = df.agg(F.min(where), F.max(where), F.count("*")).collect()[0]
     width = max((hi - lo) / min(max(32 * n // limit, 64), 1_000_000), 1e-9) if lo is not None else 1.0

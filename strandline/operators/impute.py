@@ -250,6 +250,7 @@ def fill_missing_values(
     pairs = {p: np.zeros(sizes[p[0]] * sizes[p[1]]) for p in pair_ids}
     for r in rows:
         pairs[pair_ids[r["pair"]]][r["cell"]] = r["n"]
+    ever = [any(c.any() for p, c in pairs.items() if k in p) for k in range(len(nodes))]
     tree = chow_liu(sizes, {p: c.reshape(sizes[p[0]], sizes[p[1]]) for p, c in pairs.items()})
 
     wanted = [k for k, (_, f, kind) in enumerate(nodes) if kind == "own" and f.target]
@@ -278,7 +279,7 @@ def fill_missing_values(
                 gap = codes[:, k] < 0
                 if isinstance(f, Category):
                     values = np.array(own.to_pylist(), dtype=object)
-                    if len(rows):
+                    if len(rows) and ever[k]:
                         pick = np.array(f.known, dtype=object)[beliefs[k].argmax(axis=1)]
                         values[rows[gap[rows]]] = pick[gap[rows]]
                     cols.append(pa.array(values.tolist(), pa.string()))

@@ -15,7 +15,7 @@ from pyspark.sql import WindowSpec
 
 from strandline.functions.ieee import NAN, ieee_div, ieee_ln, to_nan, to_null
 from strandline.operators.blocks import blocks, prefix_scan
-from strandline.runtime import column_numpy, key_codes, whole_groups
+from strandline.runtime import column_numpy, key_codes, materialize, whole_groups
 
 
 def lagged(df: DataFrame, value: str, order: Sequence[str], series: Sequence[str] = (), kind: str = "lag", k: int = 1, out: str = "out", whole_rows: int | None = None) -> DataFrame:
@@ -107,6 +107,8 @@ def _ew_pass(b_df: DataFrame, keys: list[str], order: list[str], alpha: float, v
                 if bad.any():
                     k = int(bad.argmax())
                     m[k:], v[k:] = np.nan, np.nan
+                    if begin[a]:
+                        v[0] = 0.0  # a series begins with variance 0, whatever its first value
                 mean[a:z], var[a:z] = m, v
             if summary:
                 ends = pa.array(at[1:] - 1)
@@ -132,6 +134,7 @@ def exponentially_weighted(df: DataFrame, value: str, alpha: float, order: Seque
     base = b.df.withColumn("_x", to_nan(F.col(value)))
     nil = F.lit(0.0)
     keep = [f for f in b.df.schema.fields]
+    keys = list(b.keys)
     schema = T.StructType([*keep, T.StructField("_m", T.DoubleType()), T.StructField("_v", T.DoubleType())])
     if not b.split:
         rows = base.withColumn("_m0", nil).withColumn("_v0", nil).withColumn("_first", F.lit(True))
@@ -149,7 +152,7 @@ def exponentially_weighted(df: DataFrame, value: str, alpha: float, order: Seque
                 for i, (end, n) in enumerate(zip(pdf[what], pdf["_n"])):
                     out.append(now)
                     now = end if i == 0 else end + now * (1 - alpha) ** n
-                return pdf[b.keys].assign(_s=out)
+                return pdf[keys].assign(_s=out)
 
             grouped = df_blocks.groupBy(*b.series) if b.series else df_blocks.groupBy(F.lit(0))
             return grouped.applyInPandas(chain, state)  # one row per block
@@ -162,9 +165,9 @@ def exponentially_weighted(df: DataFrame, value: str, alpha: float, order: Seque
             return rows.join(right, on, "left").drop(*[f"_k_{k}" for k in b.keys])
 
         rows = base.withColumn("_m0", nil).withColumn("_v0", nil).withColumn("_first", firsts)
-        means = chained(_ew_pass(rows, b.keys, b.order, alpha, value, part, True), "_m")
+        means = materialize(chained(_ew_pass(rows, b.keys, b.order, alpha, value, part, True), "_m"), "states")
         rows = started(base, means, "_m0").withColumn("_v0", nil).withColumn("_first", firsts)
-        variances = chained(_ew_pass(rows, b.keys, b.order, alpha, value, part, True), "_v")
+        variances = materialize(chained(_ew_pass(rows, b.keys, b.order, alpha, value, part, True), "_v"), "states")
         rows = started(started(base, means, "_m0"), variances, "_v0").withColumn("_first", firsts)
         rows = rows.select(*[f.name for f in keep], "_x", "_m0", "_v0", "_first")
         done = _ew_pass(rows, b.keys, b.order, alpha, value, schema, False)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import ieee
 from strandline.operators import normalize, rolling, scans
+from strandline.operators.blocks import KNOWN_SHORT, WHOLE_ROWS, longest
 from strandline.sources.tables import write_into
 
 
@@ -31,6 +32,7 @@ class Series:
     value: str
     order: tuple[str, ...]
     series: tuple[str, ...]
+    whole_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -150,7 +152,9 @@ class Pipeline:
     def execute(self, df: DataFrame, value: str, order: Sequence[str], series: Sequence[str] = (), out: str | None = None) -> DataFrame:
         """``df`` with the result in ``out`` (default: in place of ``value``). Without stages, the values as doubles."""
         result = "_pipe"
-        now = Series(df.withColumn(result, ieee.to_nan(F.col(value))), result, tuple(order), tuple(series))
+        # series never grow on the way, so they are counted once
+        short = not any(s.name in _ORDERED for s in self.stages) or longest(df, series) <= WHOLE_ROWS
+        now = Series(df.withColumn(result, ieee.to_nan(F.col(value))), result, tuple(order), tuple(series), KNOWN_SHORT if short else None)
         for i, stage in enumerate(self.stages):
             try:
                 now = replace(now, df=_LOWER[stage.name](now, **dict(stage.params)))
@@ -169,25 +173,25 @@ def _row(fn: Callable[..., Column]) -> Callable[..., DataFrame]:
 
 def _windowed(stat: str) -> Callable[..., DataFrame]:
     def lower(s: Series, window: int) -> DataFrame:
-        return rolling.rolling(s.df, s.value, window, s.order, s.series, [stat], prefix="_r_").withColumn(s.value, F.col(f"_r_{stat}")).drop(f"_r_{stat}")
+        return rolling.rolling(s.df, s.value, window, s.order, s.series, [stat], prefix="_r_", whole_rows=s.whole_rows).withColumn(s.value, F.col(f"_r_{stat}")).drop(f"_r_{stat}")
 
     return lower
 
 
 def _weighted(stat: str) -> Callable[..., DataFrame]:
     def lower(s: Series, alpha: float) -> DataFrame:
-        df = scans.exponentially_weighted(s.df, s.value, alpha, s.order, s.series, "_e_")
+        df = scans.exponentially_weighted(s.df, s.value, alpha, s.order, s.series, "_e_", s.whole_rows)
         return df.withColumn(s.value, F.col(f"_e_{stat}")).drop("_e_mean", "_e_var", "_e_std")
 
     return lower
 
 
 def _scan(kind: str) -> Callable[..., DataFrame]:
-    return lambda s: scans.cumulative(s.df, s.value, s.order, s.series, kind, s.value)
+    return lambda s: scans.cumulative(s.df, s.value, s.order, s.series, kind, s.value, s.whole_rows)
 
 
 def _lag(kind: str, name: str | None = None) -> Callable[..., DataFrame]:
-    return lambda s, **p: scans.lagged(s.df, s.value, s.order, s.series, kind, int(p.get(name, 1)) if name else 1, s.value)
+    return lambda s, **p: scans.lagged(s.df, s.value, s.order, s.series, kind, int(p.get(name, 1)) if name else 1, s.value, s.whole_rows)
 
 
 _LOWER: dict[str, Callable[..., DataFrame]] = {
@@ -210,7 +214,7 @@ _LOWER: dict[str, Callable[..., DataFrame]] = {
     "cumulative_max": _scan("max"),
     "fill_forward": _scan("fill_forward"),
     "prefix_sum": _scan("sum"),
-    "convolve": lambda s, kernel: scans.convolve_valid(s.df, s.value, kernel, s.order, s.series, s.value),
+    "convolve": lambda s, kernel: scans.convolve_valid(s.df, s.value, kernel, s.order, s.series, s.value, s.whole_rows),
     "scale": _row(lambda x, factor: x * F.lit(float(factor))),
     "shift": _row(lambda x, offset: x + F.lit(float(offset))),
     "abs": _row(F.abs),
@@ -219,6 +223,9 @@ _LOWER: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+_ORDERED = {"diff", "lag", "log_return", "pct_change", "ewma", "ewvar", "ewstd", "rolling_mean", "rolling_std", "rolling_median", "rolling_mad", "cumulative_min", "cumulative_max", "fill_forward", "prefix_sum", "convolve"}
+
+
 def pipeline(mode: str = "safe") -> Pipeline:
     """An empty pipeline."""
     if mode not in ("safe", "fast", "deterministic"):
