@@ -33,7 +33,7 @@ def folded_name(c: Column) -> Column:
 
     Null, and names of white space only, become null. Stays in the JVM (translate and regular expressions).
     """
-    x = F.translate(F.lower(F.upper(c)), _FROM, _TO)
+    x = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _FROM, _TO)
     x = F.regexp_replace(x, r"\p{M}+", "")
     x = F.regexp_replace(x, _SPACE + "+", " ")
     x = F.trim(x)
@@ -92,10 +92,10 @@ def orphans_at(child: DataFrame, key: Sequence[str], at: str, parent: DataFrame,
 def _unresolved(child: DataFrame, parent: DataFrame, r: Reference) -> DataFrame:
     """Rows of ``child`` for which reference ``r`` finds no row of ``parent``."""
     keys = list(r.child_cols)
-    parent = parent.withColumnsRenamed(dict(zip(r.parent_cols, [f"_p{i}" for i in range(len(keys))])))
-    parent = parent.where(" and ".join(f"_p{i} is not null" for i in range(len(keys)))).withColumnsRenamed({f"_p{i}": k for i, k in enumerate(keys)})
+    dates = [F.col(r.opened).alias("_opened"), F.col(r.closed).alias("_closed")] if r.at else []
+    parent = parent.select(*[F.col(p).alias(k) for p, k in zip(r.parent_cols, keys)], *dates).where(" and ".join(f"`{k}` is not null" for k in keys))
     if r.at:
-        return orphans_at(child, keys, r.at, parent, r.opened, r.closed)
+        return orphans_at(child, keys, r.at, parent, "_opened", "_closed")
     return child.where(" and ".join(f"`{k}` is not null" for k in keys)).join(parent.select(*keys).distinct(), keys, "left_anti")
 
 
