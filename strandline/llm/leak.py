@@ -85,10 +85,11 @@ def matches(ids: np.ndarray, p: Passages, rare: np.ndarray) -> tuple[np.ndarray,
     passage suffix finds by binary search those that share its first ``SEED`` words, and every such pair is drawn
     out to both sides as far as the words agree.
     """
-    keys = seeds(ids, p.base)
-    which = find_keys(keys, p.keys)
-    suffixes = np.flatnonzero((which >= 0) & rare[which])
     none = np.empty(0, dtype=np.int64)
+    if not len(p.keys):
+        return none, none, none
+    which = find_keys(seeds(ids, p.base), p.keys)
+    suffixes = np.flatnonzero((which >= 0) & rare[which])
     if not len(suffixes):
         return none, none, none
     suffixes = suffixes[np.argsort(which[suffixes], kind="stable")]

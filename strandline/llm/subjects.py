@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from strandline.llm.words import WORD, clean, fold
 
 BUCKETS = 1 << 18
+#: Margin from which a sentence is clearly about a subject, and how far an unclear one may be moved.
+CLEAR, REACH = 0.75, 2.0
 #: Lines that begin a part of a ruling, and marks of a headnote.
 BODY, ORDER = {"judgment", "urteil", "sentencia"}, {"order", "beschluss", "fallo"}
 _END = re.compile(
@@ -248,12 +250,22 @@ def subject_counts(model: SubjectModel, texts: Sequence[str | None], hashes: Wor
     if not flat:
         return out
     z = model.scores(*features(flat, hashes))
+    d, k = np.array(doc), len(model.codes)
     margin = z[:, :-1] - model.limits
-    best = margin.argmax(axis=1)
-    hit = (margin[np.arange(len(flat)), best] >= 0) | (z[:, -1] > 0)
-    d = np.array(doc)
-    np.add.at(out, (d[hit], best[hit]), 1)
-    np.add.at(out[:, -1], d[hit], 1)
+    best, top = margin.argmax(axis=1), margin.max(axis=1)
+    facts = (top >= 0) | (z[:, -1] > 0)
+    clear = facts & (top >= CLEAR)
+    # an unclear sentence counts for a subject that another sentence of its text is clearly about, if there is any
+    sure = np.zeros((len(texts), k), dtype=bool)
+    sure[d[clear], best[clear]] = True
+    unclear = facts & ~clear
+    known = sure[d[unclear]]
+    within = np.where(known, margin[unclear], -np.inf)
+    best[unclear] = np.where(known.any(axis=1), within.argmax(axis=1), best[unclear])
+    counted = facts.copy()
+    counted[unclear] = ~known.any(axis=1) | (within.max(axis=1) >= top[unclear] - REACH)
+    np.add.at(out, (d[counted], best[counted]), 1)
+    np.add.at(out[:, -1], d[facts], 1)
     return out
 
 
