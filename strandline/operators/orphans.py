@@ -69,10 +69,11 @@ def orphans_at(child: DataFrame, key: Sequence[str], at: str, parent: DataFrame,
     key = list(key)
     refs = child.where(" and ".join(f"`{k}` is not null" for k in key))
     asked = refs.select(*key, F.col(at).alias("_at")).distinct().withColumn("_m", F.coalesce(F.trunc("_at", "month"), F.lit("0001-01-01").cast("date")))
-    bounds = refs.agg(F.coalesce(F.trunc(F.min(at), "month"), F.current_date()).alias("_lo"), F.coalesce(F.trunc(F.max(at), "month"), F.current_date()).alias("_hi"))
-    valid = parent.select(*key, F.col(opened).alias("_o"), F.col(closed).alias("_c")).distinct().crossJoin(F.broadcast(bounds))  # bounds is one row
-    first = F.greatest(F.coalesce(F.trunc("_o", "month"), F.col("_lo")), F.col("_lo"))
-    last = F.least(F.coalesce(F.trunc(F.date_sub("_c", 1), "month"), F.col("_hi")), F.col("_hi"))
+    lo, hi = refs.agg(F.trunc(F.min(at), "month"), F.trunc(F.max(at), "month")).collect()[0]
+    lo, hi = (F.lit(x) if x is not None else F.trunc(F.current_date(), "month") for x in (lo, hi))
+    valid = parent.select(*key, F.col(opened).alias("_o"), F.col(closed).alias("_c")).distinct()
+    first = F.greatest(F.coalesce(F.trunc("_o", "month"), lo), lo)
+    last = F.least(F.coalesce(F.trunc(F.date_sub("_c", 1), "month"), hi), hi)
     months = valid.where(first <= last).select(*key, "_o", "_c", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("_m"))
     ever = valid.select(*key, F.lit(None).cast("date").alias("_o"), F.lit(None).cast("date").alias("_c"), F.lit("0001-01-01").cast("date").alias("_m")).distinct()
     spans = months.unionByName(ever)
