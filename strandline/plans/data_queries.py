@@ -240,6 +240,11 @@ def p6_flagged(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_flagged(spark, d).select("table_name", F.col("record_id").alias("reading_id")).distinct()
 
+P4_SQL["p4_report"] = (
+    "with found as (" + P4_SQL["p4_found"] + ") select 'holidays_events' as table_name, strftime(date, '%Y-%m') as month, 'direct' as kind, count(*) as n "
+    "from (select distinct holiday_id, date from holidays_events) join found using (holiday_id) group by 2"
+)
+
 
 QUERIES = {
     "p1_found": p1_found, "p1_trailing_totals": p1_trailing_totals, "p2_found": p2_found, "p2_filled": p2_filled,
