@@ -109,14 +109,19 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, tuple[float, Colum
     else:
         joined = finite.crossJoin(F.broadcast(keyed))  # one row
     ks = [F.col(f"_k{i}") for i in range(len(by))]
-    # below every bracket: a count; inside: rows per value; each row gives one entry per bracket it matters for
-    entries = F.array_compact(
-        F.array(*[F.when(F.col("_x") < F.col(f"_lo{k}"), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"))).when(F.col("_x") <= F.col(f"_hi{k}"), F.struct(F.lit(k).alias("k"), F.col("_x").alias("v"))) for k in range(len(names))])
-    )
-    counted = joined.select(*ks, *[F.col(f"_rank{k}") for k in range(len(names))], F.explode(entries).alias("e")).groupBy(*ks, *[f"_rank{k}" for k in range(len(names))], "e.k", "e.v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*ks, "k").orderBy(F.col("v").asc_nulls_first()))
-    rank = F.element_at(F.array(*[F.col(f"_rank{k}") for k in range(len(names))]), F.col("k") + 1)
-    hit = counted.withColumn("_upto", upto).where(F.col("v").isNotNull() & (F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank))
+    # below a bracket only a count is needed; inside, rows per value, each row once per bracket it lies in
+    ranks = [F.col(f"_rank{k}") for k in range(len(names))]
+    below = joined.groupBy(*ks).agg(*[F.count(F.when(F.col("_x") < F.col(f"_lo{k}"), 1)).alias(f"_below{k}") for k in range(len(names))])
+    entries = F.array_compact(F.array(*[F.when(F.col("_x").between(F.col(f"_lo{k}"), F.col(f"_hi{k}")), F.lit(k)) for k in range(len(names))]))
+    counted = joined.select(*ks, *ranks, F.explode(entries).alias("k"), F.col("_x").alias("v")).groupBy(*ks, *[f"_rank{k}" for k in range(len(names))], "k", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*ks, "k").orderBy("v"))
+    right = below.withColumnsRenamed({f"_k{i}": f"_j{i}" for i in range(len(by))})
+    on = F.lit(True)
+    for i in range(len(by)):
+        on = on & F.col(f"_k{i}").eqNullSafe(F.col(f"_j{i}"))
+    counted = counted.withColumn("_upto", upto).join(right if by else F.broadcast(right), on)  # one row where there are no groups
+    rank = F.element_at(F.array(*ranks), F.col("k") + 1) - F.element_at(F.array(*[F.col(f"_below{k}") for k in range(len(names))]), F.col("k") + 1)
+    hit = counted.where((F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank))
     found = hit.groupBy(*ks).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_f{k}") for k in range(len(names))])
     head = first.select(*by, "n", "has_nan")
     if by:
