@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from strandline.llm.words import WORD, WordIds, clean, fold
 
 #: Words of the shortest verbatim match that is looked at.
 SEED = 4
+#: Most words between matches that are chained, and most words that their places may shift by.
+GAP, DRIFT = 25, 14
 REGISTERS = 64
 #: Words of a block of passages; the corpus is read once for each block.
 BLOCK_WORDS = 1_000_000
@@ -52,6 +55,9 @@ class Passages:
         self.seed_of = np.full(len(self.ids), -1, dtype=np.int64)
         self.seed_of[self.where] = which
         self.starts = np.searchsorted(self.item, np.arange(len(rows)))
+        self.spaced_at = np.zeros(len(self.ids), dtype=np.int64)
+        for start, s in zip(self.starts, self.spaced):
+            self.spaced_at[start : start + len(s)] = s
 
 
 def seeds(ids: np.ndarray, base: np.int64) -> np.ndarray:
@@ -120,20 +126,127 @@ def matches(ids: np.ndarray, p: Passages, rare: np.ndarray) -> tuple[np.ndarray,
     return one[1], one[0], one[2]
 
 
+@lru_cache(maxsize=1 << 18)
 def alike(a: str, b: str) -> bool:
     """Equal, or the same word with characters changed."""
     if a == b:
         return True
     if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 2:
         return False
+    # the ratio is at most that of the characters in common, which is cheap
+    left = b
+    for c in a:
+        left = left.replace(c, "", 1)
+    if 2 * (len(b) - len(left)) < 0.75 * (len(a) + len(b)):
+        return False
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.75
 
 
-def align(passage: list[str], text: list[str], at: np.ndarray, to: np.ndarray, length: np.ndarray, gap: int = 25, drift: int = 14) -> tuple[int, int, np.ndarray]:
+def drawn_out(passage: list[str], text: list[str], x: int, y: int, step: int) -> list[int]:
+    """Passage words found from ``x`` and ``y`` on in the direction ``step`` while most of them agree; a word left out or put in shifts it by one."""
+    found, missed, n, m = [], 0, len(passage), len(text)
+    while 0 <= x < n and 0 <= y < m and missed < 3:
+        missed += 1
+        for dx, dy in ((0, 0), (0, step), (step, 0), (step, step), (0, 2 * step), (2 * step, 0)):
+            i, j = x + dx, y + dy
+            if 0 <= i < n and 0 <= j < m and alike(passage[i], text[j]) and (dx == dy == 0 or (0 <= i + step < n and 0 <= j + step < m and alike(passage[i + step], text[j + step]))):
+                x, y, missed = i, j, 0
+                found.append(i)
+                break
+        x, y = x + step, y + step
+    return found
+
+
+class WordShapes(dict):
+    """Words numbered from 1 (0 stands between texts), with lengths and sets of characters."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[str] = [""]
+        self.size, self.chars = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+    def number(self, texts: list[list[str]]) -> np.ndarray:
+        """Numbers of the words of each text, with ``SEED`` zeros after each text."""
+        out, pad = [], [0] * SEED
+        for t in texts:
+            out += map(self.__getitem__, t)
+            out += pad
+        new = self.words[len(self.size) :]
+        self.size = np.append(self.size, np.array([len(w) for w in new], dtype=np.int64))
+        chars = np.zeros(len(new), dtype=np.uint64)
+        for k, w in enumerate(new):
+            m = 0
+            for c in w:
+                m |= 1 << (ord(c) & 63)
+            chars[k] = m
+        self.chars = np.append(self.chars, chars)
+        return np.array(out, dtype=np.int64)
+
+    def alike(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """:func:`alike` of words by number; pairs with too many characters that only one of them has are told without it."""
+        out = (u == v) & (u > 0)
+        size, other = self.size[u], self.size[v]
+        k = np.flatnonzero(~out & (np.minimum(size, other) >= 4) & (np.abs(size - other) <= 2))
+        size, other, a, b = size[k], other[k], self.chars[u[k]], self.chars[v[k]]
+        common = np.minimum(size - np.bitwise_count(a & ~b), other - np.bitwise_count(b & ~a))
+        k = k[8 * common >= 3 * (size + other)]
+        out[k] = [alike(self.words[x], self.words[y]) for x, y in zip(u[k].tolist(), v[k].tolist())]
+        return out
+
+
+def reach(shapes: WordShapes, passages: np.ndarray, texts: np.ndarray, x: np.ndarray, y: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last position that :func:`drawn_out` finds from each ``x`` and ``y``, for many at once (``x - step`` where none), and how many it finds."""
+    x, y, best = x.copy(), y.copy(), x - step
+    found, missed = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+    live = np.arange(len(x))
+    while len(live):
+        live = live[(passages[x[live]] > 0) & (texts[y[live]] > 0)]
+        missed[live] += 1
+        rest = live
+        for dx, dy in ((0, 0), (0, step), (step, 0), (step, step), (0, 2 * step), (2 * step, 0)):
+            i, j = x[rest] + dx, y[rest] + dy
+            ok = shapes.alike(passages[i], texts[j])
+            if dx or dy:
+                k = np.flatnonzero(ok)
+                ok[k] = shapes.alike(passages[i[k] + step], texts[j[k] + step])
+            got = rest[ok]
+            x[got], y[got], best[got], missed[got] = i[ok], j[ok], i[ok], 0
+            found[got] += 1
+            rest = rest[~ok]
+        x[live] += step
+        y[live] += step
+        live = live[missed[live] < 3]
+    return best, found
+
+
+def bands(pair: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, gap: int = GAP, drift: int = DRIFT) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the matches and where its bands begin; :func:`align` never chains matches of different bands.
+
+    Matches of a band are of one pair; their diagonals have no step above ``drift`` and their passage words none above ``gap``.
+    """
+    slope = b - a
+    order = np.lexsort((slope, pair))
+    q, d = pair[order], slope[order]
+    band = np.zeros(len(a), dtype=np.int64)
+    band[order] = np.cumsum(np.append(False, (q[1:] != q[:-1]) | (d[1:] - d[:-1] > drift)))
+    order = np.lexsort((a, band))
+    q, x = band[order], a[order]
+    wide = int((a + n).max()) + 1
+    upto = np.maximum.accumulate(q * wide + x + n[order])[:-1] - q[:-1] * wide
+    return order, np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (x[1:] - upto > gap)))
+
+
+def align(passage: list[str], text: list[str], at: np.ndarray, to: np.ndarray, length: np.ndarray, gap: int = GAP, drift: int = DRIFT) -> tuple[int, int, np.ndarray]:
     """Best chain of matches, filled up and drawn out: the passage's span and which of its words are matched."""
-    order = np.lexsort((to, at))
-    at, to, length = at[order], to[order], length[order]
     n = len(at)
+    if n > 1:
+        order = np.lexsort((to, at))
+        at, to, length = at[order], to[order], length[order]
     score, back = length.astype(float), np.full(n, -1)
     for i in range(1, n):
         new = np.minimum(np.minimum(at[i] + length[i] - (at[:i] + length[:i]), to[i] + length[i] - (to[:i] + length[:i])), length[i])
@@ -165,27 +278,10 @@ def align(passage: list[str], text: list[str], at: np.ndarray, to: np.ndarray, l
                     hit[k] = True
                     window = window[w + 1 :]
     first, last = chain[0], chain[-1]
-    # an extension follows the words on while most of them agree; a word left out or put in shifts it by one
-    begin, x, y, missed = int(at[first]), int(at[first]) - 1, int(to[first]) - 1, 0
-    while x >= 0 and y >= 0 and missed < 3:
-        for dx, dy in ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0)):
-            if x - dx >= 0 and y - dy >= 0 and alike(passage[x - dx], text[y - dy]) and (dx == dy == 0 or (x - dx - 1 >= 0 and y - dy - 1 >= 0 and alike(passage[x - dx - 1], text[y - dy - 1]))):
-                x, y, missed = x - dx, y - dy, 0
-                hit[x], begin = True, x
-                break
-        else:
-            missed += 1
-        x, y = x - 1, y - 1
-    end, x, y, missed = int(at[last] + length[last]), int(at[last] + length[last]), int(to[last] + length[last]), 0
-    while x < len(passage) and y < len(text) and missed < 3:
-        for dx, dy in ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0)):
-            if x + dx < len(passage) and y + dy < len(text) and alike(passage[x + dx], text[y + dy]) and (dx == dy == 0 or (x + dx + 1 < len(passage) and y + dy + 1 < len(text) and alike(passage[x + dx + 1], text[y + dy + 1]))):
-                x, y, missed = x + dx, y + dy, 0
-                hit[x], end = True, x + 1
-                break
-        else:
-            missed += 1
-        x, y = x + 1, y + 1
+    before = drawn_out(passage, text, int(at[first]) - 1, int(to[first]) - 1, -1)
+    after = drawn_out(passage, text, int(at[last] + length[last]), int(to[last] + length[last]), 1)
+    hit[before + after] = True
+    begin, end = before[-1] if before else int(at[first]), after[-1] + 1 if after else int(at[last] + length[last])
     return begin, end, hit
 
 
@@ -267,10 +363,12 @@ def seed_spread(df: DataFrame, text: str, group: str, p: Passages) -> tuple[np.n
 
 
 def leak_candidates(
-    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None, stock_share: float = 0.01, stock_floor: float = 20, least_seeds: int = 8
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None, stock_share: float = 0.01, stock_floor: float = 20, least_words: int = 1, least_matched: float = 0
 ) -> DataFrame:
     """Aligned places of passages in texts: ``doc_id``, ``item_id``, ``n_words`` (span in the passage's words as parted
     by spaces), ``matched`` (share of the span's words found), ``rare`` (share of its rare seeds found), ``n_rare``.
+    Every pair with a rare seed in common is aligned unless it can't span ``least_words`` with ``least_matched`` of them
+    found; shorter spans are left out.
 
     See :func:`leaked_passages`.
     """
@@ -298,7 +396,7 @@ def leak_candidates(
             lookup = WordIds(p.vocabulary)
             rare_at = np.zeros(len(p.ids), dtype=bool)
             rare_at[p.where] = rare[p.seed_of[p.where]]
-            upto = np.concatenate([[0], np.cumsum(rare_at)])
+            shapes, numbers = WordShapes(), None
             for t in _shards(batches, 1):
                 texts, ids, starts = _flat(t.column(1).to_pylist(), lookup)
                 a, b, n = matches(ids, p, rare)
@@ -306,23 +404,41 @@ def leak_candidates(
                     continue
                 doc = np.searchsorted(starts, b, side="right") - 1
                 item = p.item[a]
-                seeds_in = upto[np.maximum(a + n - SEED + 1, a)] - upto[a]
                 pair = doc * len(p.items) + item
                 order = np.argsort(pair, kind="stable")
-                pair, a, b, n, seeds_in = (x[order] for x in (pair, a, b, n, seeds_in))
+                pair, a, b, n = (x[order] for x in (pair, a, b, n))
                 at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-                enough = np.add.reduceat(seeds_in, at) >= least_seeds
                 ends = np.append(at[1:], len(pair))
+                # no alignment spans more than from the first to the last word found from any match of a band
+                if numbers is None or len(shapes) > 2_000_000:
+                    shapes = WordShapes()
+                    numbers = np.append(shapes.number(p.words), [0] * SEED)
+                there = shapes.number(texts)
+                by_band, first = bands(pair, a, b, n)
+                before, n_before = reach(shapes, numbers, there, a - 1, b - 1, -1)
+                after, n_after = reach(shapes, numbers, there, a + n, b + n, 1)
+                begins, lasts = np.minimum.reduceat(before[by_band], first), np.maximum.reduceat(after[by_band], first)
+                long = p.spaced_at[lasts] - p.spaced_at[begins] + 1 >= least_words
+                # where a band is a single match, the share of words found is known too
+                alone = np.flatnonzero(np.diff(np.append(first, len(a))) == 1)
+                m = by_band[first[alone]]
+                long[alone] &= (n_before + n + n_after)[m] / (after - before + 1)[m] >= least_matched
+                long = pair[by_band[first[long]]]
+                kept = np.isin(pair[at], long)
+                at, ends = at[kept], ends[kept]
                 hits = []
-                for i, j in zip(at[enough], ends[enough]):
+                for i, j in zip(at.tolist(), ends.tolist()):
                     d, k = divmod(int(pair[i]), len(p.items))
                     base = p.starts[k]
                     words = p.words[k]
                     begin, end, hit = align(words, texts[d], a[i:j] - base, b[i:j] - starts[d], n[i:j])
-                    in_span = np.flatnonzero(rare_at[base + begin : base + max(end - SEED + 1, begin)]) + begin
-                    kept = sum(bool(hit[s : s + SEED].all()) for s in in_span)
                     spaced = p.spaced[k]
-                    hits.append((d, k, int(spaced[end - 1] - spaced[begin] + 1), float(hit[begin:end].mean()), kept / max(len(in_span), 1), kept))
+                    n_words = int(spaced[end - 1] - spaced[begin] + 1)
+                    if n_words < least_words:
+                        continue
+                    in_span = np.flatnonzero(rare_at[base + begin : base + max(end - SEED + 1, begin)]) + begin
+                    n_rare = sum(bool(hit[s : s + SEED].all()) for s in in_span)
+                    hits.append((d, k, n_words, float(hit[begin:end].mean()), n_rare / max(len(in_span), 1), n_rare))
                 if hits:
                     cols = list(zip(*hits))
                     ids_out = t.column(0).combine_chunks().take(pa.array(cols[0]))
@@ -348,7 +464,7 @@ def leaked_passages(
     each run of four passage words occurs; runs in more than ``stock_share`` of them are stock. A second pass sorts
     the suffixes of each shard that begin with a rarer run (a suffix array of the positions that can match), finds
     every passage suffix in it by binary search, and draws the matches out to their full length. The matches of a
-    pair are then aligned: chained, filled up over altered words and drawn out at the ends. A pair counts where the
+    pair, be it a single one, are then aligned: chained, filled up over altered words and drawn out at the ends. A pair counts where the
     aligned part spans ``least_words`` words of the passage (one below the stated 30, as an altered first or last word
     can't be seen), most of its words agree and so do its rare runs, which tells it from stock formulas and from
     other texts made after the same patterns.
@@ -357,7 +473,7 @@ def leaked_passages(
     Passages are held in blocks of bounded size, each block sent to all tasks, and the corpus is read once per pass
     and block; whole texts are read, and no text is ever shuffled.
     """
-    c = leak_candidates(docs, items, doc_id, text, item_id, passage, group)
+    c = leak_candidates(docs, items, doc_id, text, item_id, passage, group, least_words=least_words, least_matched=least_matched)
     keep = c.where((F.col("n_words") >= least_words) & (F.col("matched") >= least_matched) & (F.col("rare") >= least_rare) & (F.col("n_rare") >= least_seeds))
     return keep.groupBy(doc_id, item_id).agg(F.max("n_words").alias("n_words"), F.max("matched").alias("matched"), F.max("rare").alias("rare"), F.max("n_rare").alias("n_rare"))
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm.leak import Passages, leaked_passages, matches, seeds, without_leaks
+from strandline.llm.leak import Passages, WordShapes, align, bands, leaked_passages, matches, reach, seeds, without_leaks
 from strandline.llm.pack import pack_texts, plan_containers, token_counts
 from strandline.llm.subjects import WordHashes, fit_subjects, sentences, subject_areas, subject_counts
 from strandline.llm.words import WordIds, words
@@ -148,6 +148,49 @@ def test_planted_leaks(spark):
     assert leaked_passages(df.limit(5), it.limit(0), "id", "text", "item", "passage").count() == 0
 
 
+def test_leaks_with_few_verbatim_seeds(spark):
+    rng = np.random.default_rng(11)
+    passages = [prose(90, rng) for _ in range(3)]
+    altered = lambda part, at: [w[:2] + "z" + w[3:] if i in at else w for i, w in enumerate(part)]
+    parts = [
+        altered(passages[0][20:50], {4, 9, 14, 19, 24}),  # 25 of 30 words verbatim, 7 whole seeds
+        altered(passages[1][30:70], set(range(3, 40, 4)) - {19}),  # 1 run of seven words, 4 whole seeds
+        altered(passages[2][10:46], {*range(3, 36, 3)} - {15} | {17}),  # 1 whole seed
+    ]
+    docs = [(k, " ".join([*prose(60, rng), *p, *prose(60, rng)])) for k, p in enumerate(parts)]
+    docs += [(3, " ".join([*prose(60, rng), *passages[0][20:24], *prose(60, rng)]))]
+    df = spark.createDataFrame(docs, "id long, text string")
+    it = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item long, passage string")
+    out = leaked_passages(df, it, "id", "text", "item", "passage").collect()
+    assert {(r["id"], r["item"]) for r in out} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_reach_and_bands_bound_the_alignment():
+    rng = np.random.default_rng(12)
+    few = [*LEXICON[:3], LEXICON[0][:-1] + "z", "ab", LEXICON[5]]
+    p = Passages([(i, " ".join(rng.choice(few, 40))) for i in range(3)])
+    texts = [[str(w) for w in rng.choice(few, 70)] for _ in range(12)]
+    ids = np.concatenate([np.array([*map(WordIds(p.vocabulary).__getitem__, t), 0, 0, 0, 0]) for t in texts])
+    a, b, n = matches(ids, p, np.ones(len(p.keys), dtype=bool))
+    shapes = WordShapes()
+    numbers, there = np.append(shapes.number(p.words), [0] * 4), shapes.number(texts)
+    (before, n_before), (after, n_after) = reach(shapes, numbers, there, a - 1, b - 1, -1), reach(shapes, numbers, there, a + n, b + n, 1)
+    text, start = b // 74, p.starts[p.item[a]]
+    for k in range(len(a)):
+        begin, end, hit = align(p.words[p.item[a[k]]], texts[text[k]], a[k : k + 1] - start[k], b[k : k + 1] % 74, n[k : k + 1])
+        assert (begin, end - 1, hit.sum()) == (before[k] - start[k], after[k] - start[k], n_before[k] + n[k] + n_after[k])
+    pair = text * 3 + p.item[a]
+    order, first = bands(pair, a, b, n, gap=5, drift=2)
+    band = np.zeros(len(a), dtype=np.int64)
+    band[order] = np.cumsum(np.isin(np.arange(len(a)), first)) - 1
+    begins, lasts = np.minimum.reduceat(before[order], first), np.maximum.reduceat(after[order], first)
+    assert len(a) > len(first) > len(set(pair.tolist()))
+    for q in set(pair.tolist()):
+        of = np.flatnonzero(pair == q)
+        begin, end, _ = align(p.words[q % 3], texts[q // 3], a[of] - p.starts[q % 3], b[of] % 74, n[of], gap=5, drift=2)
+        assert any(begins[k] <= begin + p.starts[q % 3] and end - 1 + p.starts[q % 3] <= lasts[k] for k in set(band[of].tolist()))
+
+
 # subjects --------------------------------------------------------------------------------------------------------
 
 
