@@ -366,8 +366,8 @@ def leak_candidates(
     docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None, stock_share: float = 0.01, stock_floor: float = 20, least_words: int = 1, least_matched: float = 0
 ) -> DataFrame:
     """Aligned places of passages in texts: ``doc_id``, ``item_id``, ``n_words`` (span in the passage's words as parted
-    by spaces), ``matched`` (share of the span's words found), ``rare`` (share of its rare seeds found), ``n_rare``.
-    Every pair with a rare seed in common is aligned unless it can't span ``least_words`` with ``least_matched`` of them
+    by spaces), ``matched`` (share of the span's words found), ``rare`` (share of its rare seeds found), ``n_rare``,
+    ``own`` (share found of its words that lie in no stock seed), ``n_own``. Every pair with a rare seed in common is aligned unless it can't span ``least_words`` with ``least_matched`` of them
     found; shorter spans are left out.
 
     See :func:`leaked_passages`.
@@ -382,7 +382,7 @@ def leak_candidates(
         blocks[-1].append(r)
         size += n
     out = T.StructType(
-        [docs.schema[doc_id], items.schema[item_id], T.StructField("n_words", T.LongType()), T.StructField("matched", T.DoubleType()), T.StructField("rare", T.DoubleType()), T.StructField("n_rare", T.LongType())]
+        [docs.schema[doc_id], items.schema[item_id], T.StructField("n_words", T.LongType()), T.StructField("matched", T.DoubleType()), T.StructField("rare", T.DoubleType()), T.StructField("n_rare", T.LongType()), T.StructField("own", T.DoubleType()), T.StructField("n_own", T.LongType())]
     )
     found = None
     for block in blocks:
@@ -396,6 +396,9 @@ def leak_candidates(
             lookup = WordIds(p.vocabulary)
             rare_at = np.zeros(len(p.ids), dtype=bool)
             rare_at[p.where] = rare[p.seed_of[p.where]]
+            own_at = p.ids > 0  # words in no stock run
+            for k in range(SEED):
+                own_at[p.where[~rare_at[p.where]] + k] = False
             shapes, numbers = WordShapes(), None
             for t in _shards(batches, 1):
                 texts, ids, starts = _flat(t.column(1).to_pylist(), lookup)
@@ -438,12 +441,13 @@ def leak_candidates(
                         continue
                     in_span = np.flatnonzero(rare_at[base + begin : base + max(end - SEED + 1, begin)]) + begin
                     n_rare = sum(bool(hit[s : s + SEED].all()) for s in in_span)
-                    hits.append((d, k, n_words, float(hit[begin:end].mean()), n_rare / max(len(in_span), 1), n_rare))
+                    own = hit[begin:end][own_at[base + begin : base + end]]
+                    hits.append((d, k, n_words, float(hit[begin:end].mean()), n_rare / max(len(in_span), 1), n_rare, float(own.mean()) if len(own) else 0.0, int(own.sum())))
                 if hits:
                     cols = list(zip(*hits))
                     ids_out = t.column(0).combine_chunks().take(pa.array(cols[0]))
                     yield pa.RecordBatch.from_arrays(
-                        [ids_out.combine_chunks() if isinstance(ids_out, pa.ChunkedArray) else ids_out, pa.array([p.items[k] for k in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4]), pa.array(cols[5], pa.int64())],
+                        [ids_out.combine_chunks() if isinstance(ids_out, pa.ChunkedArray) else ids_out, pa.array([p.items[k] for k in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4]), pa.array(cols[5], pa.int64()), pa.array(cols[6]), pa.array(cols[7], pa.int64())],
                         names=out.names,
                     )
 
@@ -454,7 +458,7 @@ def leak_candidates(
 
 def leaked_passages(
     docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, group: str | None = None,
-    least_words: int = 29, least_matched: float = 0.8, least_rare: float = 0.45, least_seeds: int = 12,
+    least_words: int = 29, least_matched: float = 0.8, least_rare: float = 0.45, least_seeds: int = 12, least_own: float = 0.83,
 ) -> DataFrame:
     """Pairs of a text and a held-out passage that it contains, wholly or in part: distinct ``doc_id``, ``item_id`` with the
     figures of :func:`leak_candidates`.
@@ -466,15 +470,18 @@ def leaked_passages(
     every passage suffix in it by binary search, and draws the matches out to their full length. The matches of a
     pair, be it a single one, are then aligned: chained, filled up over altered words and drawn out at the ends. A pair counts where the
     aligned part spans ``least_words`` words of the passage (one below the stated 30, as an altered first or last word
-    can't be seen), most of its words agree and so do its rare runs, which tells it from stock formulas and from
-    other texts made after the same patterns.
+    can't be seen), most of its words agree and so do its rare runs, or ``least_own`` of its words that are in no stock
+    run, as few replaced words break many runs; this tells it from stock formulas and from other texts made after the
+    same patterns, whose words between the formulas differ.
 
     Null and empty texts or passages match nothing; rows without id give a null id. Repeated rows give one pair.
     Passages are held in blocks of bounded size, each block sent to all tasks, and the corpus is read once per pass
     and block; whole texts are read, and no text is ever shuffled.
     """
     c = leak_candidates(docs, items, doc_id, text, item_id, passage, group, least_words=least_words, least_matched=least_matched)
-    keep = c.where((F.col("n_words") >= least_words) & (F.col("matched") >= least_matched) & (F.col("rare") >= least_rare) & (F.col("n_rare") >= least_seeds))
+    runs = (F.col("rare") >= least_rare) & (F.col("n_rare") >= least_seeds)
+    words = (F.col("own") >= least_own) & (F.col("n_own") >= least_seeds + SEED - 1)  # as many as so many runs hold
+    keep = c.where((F.col("n_words") >= least_words) & (F.col("matched") >= least_matched) & (runs | words))
     return keep.groupBy(doc_id, item_id).agg(F.max("n_words").alias("n_words"), F.max("matched").alias("matched"), F.max("rare").alias("rare"), F.max("n_rare").alias("n_rare"))
 
 

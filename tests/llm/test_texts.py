@@ -165,6 +165,17 @@ def test_leaks_with_few_verbatim_seeds(spark):
     assert {(r["id"], r["item"]) for r in out} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_leaks_with_replaced_words(spark):
+    rng = np.random.default_rng(13)
+    passages = [prose(90, rng) for _ in range(3)]
+    replaced = lambda part, at: ["qqq" if i in at else w for i, w in enumerate(part)]
+    parts = [replaced(passages[0][20:50], {5, 11, 17, 23}), replaced(passages[1], set(range(5, 90, 7))), replaced(passages[2], set(range(2, 90, 3)))]
+    df = spark.createDataFrame([(k, " ".join([*prose(60, rng), *p, *prose(60, rng)])) for k, p in enumerate(parts)], "id long, text string")
+    it = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item long, passage string")
+    out = leaked_passages(df, it, "id", "text", "item", "passage").collect()
+    assert {(r["id"], r["item"]) for r in out} == {(0, 0), (1, 1)}  # every third word replaced is no longer that part
+
+
 def test_reach_and_bands_bound_the_alignment():
     rng = np.random.default_rng(12)
     few = [*LEXICON[:3], LEXICON[0][:-1] + "z", "ab", LEXICON[5]]
