@@ -122,8 +122,8 @@ def matches(ids: np.ndarray, p: Passages, rare: np.ndarray) -> tuple[np.ndarray,
         a[live] -= 1
         b[live] -= 1
         length[live] += 1
-    one = np.unique(np.stack([b, a, length]), axis=1)
-    return one[1], one[0], one[2]
+    _, one = np.unique(b * len(p.ids) + a, return_index=True)  # a match's length follows from its place
+    return a[one], b[one], length[one]
 
 
 @lru_cache(maxsize=1 << 18)
@@ -318,28 +318,31 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
 
 
 def seed_spread(df: DataFrame, text: str, group: str, p: Passages) -> tuple[np.ndarray, float]:
-    """In how many different ``group`` values each seed of the passages occurs in the corpus, and how many there are.
+    """In how many different ``group`` values each seed of the passages occurs in the corpus, or in how many different
+    texts where these are fewer, and how many there are.
 
-    Counted over all rows with small mergeable registers (64 per seed), so copies and versions in one group count
-    once. Tasks send registers, whose size follows the passages, never the corpus.
+    Counted over all rows with small mergeable registers (64 per seed and count), so versions in one group count once, and
+    so do texts with the same words in many groups. Tasks send registers, whose size follows the passages, never the corpus.
     """
-    cells = (len(p.keys) + 1) * REGISTERS
+    half = (len(p.keys) + 1) * REGISTERS
+    cells = 2 * half
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = WordIds(p.vocabulary)
         regs = np.zeros(cells, dtype=np.uint8)
         for t in _shards(batches, 1):
-            _, ids, starts = _flat(t.column(1).to_pylist(), lookup)
-            h = np.array([_hash64(g) for g in t.column(0).to_pylist()], dtype=np.uint64)
-            cell = (h % np.uint64(REGISTERS)).astype(np.int64)
-            above = h // np.uint64(REGISTERS)
-            low = above & (~above + np.uint64(1))
-            rho = np.where(above > 0, np.log2(np.maximum(low, 1).astype(float)), 50).astype(np.uint8) + 1
-            np.maximum.at(regs, len(p.keys) * REGISTERS + cell, rho)
+            texts, ids, starts = _flat(t.column(1).to_pylist(), lookup)
             which = find_keys(seeds(ids, p.base), p.keys)
             at = np.flatnonzero(which >= 0)
             doc = np.searchsorted(starts, at, side="right") - 1
-            np.maximum.at(regs, which[at] * REGISTERS + cell[doc], rho[doc])
+            for first, of in ((0, t.column(0).to_pylist()), (half, map(" ".join, texts))):
+                h = np.array([_hash64(x) for x in of], dtype=np.uint64)
+                cell = (h % np.uint64(REGISTERS)).astype(np.int64)
+                above = h // np.uint64(REGISTERS)
+                low = above & (~above + np.uint64(1))
+                rho = np.where(above > 0, np.log2(np.maximum(low, 1).astype(float)), 50).astype(np.uint8) + 1
+                np.maximum.at(regs, first + len(p.keys) * REGISTERS + cell, rho)
+                np.maximum.at(regs, first + which[at] * REGISTERS + cell[doc], rho[doc])
         yield pa.RecordBatch.from_arrays([pa.array([regs.tobytes()], pa.binary())], names=["regs"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,6 +362,7 @@ def seed_spread(df: DataFrame, text: str, group: str, p: Passages) -> tuple[np.n
     zeros = (regs == 0).sum(axis=1)
     linear = REGISTERS * np.log(REGISTERS / np.maximum(zeros, 1))
     est = np.where((raw <= 2.5 * REGISTERS) & (zeros > 0), linear, raw)
+    est = est.reshape(2, -1).min(axis=0)
     return est[:-1], float(est[-1])
 
 
@@ -465,7 +469,8 @@ def leaked_passages(
 
     Texts and passages are compared by words, without case, accents, markup, layout and characters that were coded
     twice. A first pass over the corpus counts in how many different ``group`` values (rulings, not their versions)
-    each run of four passage words occurs; runs in more than ``stock_share`` of them are stock. A second pass sorts
+    each run of four passage words occurs, or in how many different texts if fewer; runs in more than ``stock_share`` of
+    them, and more than ``stock_floor``, are stock. A second pass sorts
     the suffixes of each shard that begin with a rarer run (a suffix array of the positions that can match), finds
     every passage suffix in it by binary search, and draws the matches out to their full length. The matches of a
     pair, be it a single one, are then aligned: chained, filled up over altered words and drawn out at the ends. A pair counts where the

@@ -176,6 +176,17 @@ def test_leaks_with_replaced_words(spark):
     assert {(r["id"], r["item"]) for r in out} == {(0, 0), (1, 1)}  # every third word replaced is no longer that part
 
 
+def test_copies_under_many_groups_are_no_stock(spark):
+    rng = np.random.default_rng(14)
+    passage = prose(60, rng)
+    copy = " ".join([*prose(40, rng), *passage, *prose(40, rng)])
+    docs = [(k, copy if k < 60 else " ".join([*prose(80, rng), *STOCK.split()]), f"g{k}") for k in range(200)]
+    df = spark.createDataFrame(docs, "id long, text string, g string").repartition(3)
+    it = spark.createDataFrame([(1, " ".join(passage)), (2, STOCK)], "item long, passage string")
+    out = leaked_passages(df, it, "id", "text", "item", "passage", "g").collect()
+    assert {(r["id"], r["item"]) for r in out} == {(k, 1) for k in range(60)}
+
+
 def test_reach_and_bands_bound_the_alignment():
     rng = np.random.default_rng(12)
     few = [*LEXICON[:3], LEXICON[0][:-1] + "z", "ab", LEXICON[5]]
