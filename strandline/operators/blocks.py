@@ -57,12 +57,28 @@ def _position(df: DataFrame, name: str) -> Column:
     raise ValueError(f"a long series must be ordered by a number or time first, not by {name}")
 
 
+def with_reach(plan: DataFrame, run: WindowSpec, series: Sequence[str], n: str, block: str, look_back: int, look_ahead: int, out: str) -> DataFrame:
+    """``plan`` (slices with ``n`` rows each and their ``block``; ``run`` is its window by ``series`` in order) with the
+    numbers of the blocks that need each slice: its own, the later ones that begin fewer than ``look_back`` rows after it
+    and the earlier ones that end fewer than ``look_ahead`` rows before it.
+    """
+    plan = plan.withColumns({"_upto": F.sum(n).over(run), "_next": F.coalesce(F.lead(block).over(run), block), "_last": F.coalesce(F.lag(block).over(run), block)})
+    plan = plan.withColumn("_from", F.col("_upto") - F.col(n))
+    near = W.partitionBy(*series)
+    first = last = F.col(block)
+    if look_back > 0:
+        last = F.max("_next").over(near.orderBy("_upto").rangeBetween(0, look_back - 1))
+    if look_ahead > 0:
+        first = F.min("_last").over(near.orderBy("_from").rangeBetween(1 - look_ahead, 0))
+    return plan.withColumn(out, F.sequence(first, last)).drop("_upto", "_next", "_last", "_from")
+
+
 def blocks(df: DataFrame, order: Sequence[str], series: Sequence[str] = (), look_back: int = 0, look_ahead: int = 0, whole_rows: int | None = None) -> Blocks:
     """Prepare ``df`` for windows of bounded reach over each series (``series`` columns, in the order of ``order``).
 
     Series of up to ``whole_rows`` rows are windows by ``series`` as usual. If one is longer, rows are counted by
     series and slice of the first order column; consecutive slices form blocks of about ``whole_rows`` rows, and each
-    slice whose rows a neighbouring block's windows reach is sent to that block too. So no task holds more than a
+    slice whose rows another block's windows reach is sent to that block too. So no task holds more than a
     block, whatever share of the rows a series has. The rows are written out once before they are sliced. Rows with equal order columns must not matter to the caller.
     """
     order, series = list(order), list(series)
@@ -81,15 +97,9 @@ def blocks(df: DataFrame, order: Sequence[str], series: Sequence[str] = (), look
     run = W.partitionBy(*series).orderBy("_slice") if series else W.orderBy("_slice")  # at most a million slices
     plan = count.withColumn("_block", F.floor((F.sum("_n").over(run) - F.col("_n")) / limit))
     plan = plan.withColumn("_block", F.dense_rank().over(W.partitionBy(*series).orderBy("_block") if series else W.orderBy("_block")))
-    inner = W.partitionBy(*series, "_block").orderBy("_slice")
-    before = F.sum("_n").over(inner) - F.col("_n")
-    after = F.sum("_n").over(W.partitionBy(*series, "_block").orderBy(F.col("_slice").desc())) - F.col("_n")
-    plan = plan.withColumn("_before", before).withColumn("_after", after)
-    goes = [F.col("_block")]
-    # a block shorter than the reach can only be the last one of its series; one step to either side is enough for it
-    goes.append(F.when(F.col("_after") < look_back, F.col("_block") + 1))
-    goes.append(F.when(F.col("_before") < look_ahead, F.col("_block") - 1))
-    plan = plan.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(series)], F.col("_slice").alias("_p"), F.col("_block").alias("_home"), F.array_compact(F.array(*goes)).alias("_goes"))
+    # a block can be short (after a slice of many rows), so a slice goes as many blocks on as its rows are within reach
+    plan = with_reach(plan, run, series, "_n", "_block", look_back, look_ahead, "_goes")
+    plan = plan.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(series)], F.col("_slice").alias("_p"), F.col("_block").alias("_home"), "_goes")
     on = sliced["_slice"] == plan["_p"]
     for i, s in enumerate(series):
         on = on & sliced[s].eqNullSafe(plan[f"_s{i}"])

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from strandline.functions.kalman import local_level_innovations
 from strandline.functions.times import utc_micros
+from strandline.operators.blocks import with_reach
 from strandline.runtime import column_numpy, key_codes, whole_groups
 
 DAY_US = 86_400_000_000
@@ -114,7 +115,8 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
     tables give no rows.
 
     Two shuffles: by source and day, to count and to look up the chunk, then by source and chunk. A source with a
-    third of all rows becomes many chunks of ``chunk`` readings, each seeing at least 96 readings on either side,
+    third of all rows becomes many chunks of ``chunk`` readings, each seeing at least 96 readings on either side (from as
+    many chunks as it takes),
     so runs and spikes at the edges are whole.
     """
     parts = []
@@ -134,10 +136,8 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
     per_day = rec.groupBy("tab", "src", "day").agg(F.count("*").alias("n"))
     by = W.partitionBy("tab", "src").orderBy("day")
     plan = per_day.withColumn("c", F.floor((F.sum("n").over(by) - F.col("n")) / chunk)).withColumn("c", F.dense_rank().over(W.partitionBy("tab", "src").orderBy("c")))
-    in_chunk = W.partitionBy("tab", "src", "c").orderBy("day")
-    plan = plan.withColumn("before", F.sum("n").over(in_chunk) - F.col("n")).withColumn("after", F.sum("n").over(W.partitionBy("tab", "src", "c").orderBy(F.col("day").desc())) - F.col("n"))
-    goes = F.array_compact(F.array(F.col("c"), F.when(F.col("before") < MARGIN, F.col("c") - 1), F.when(F.col("after") < MARGIN, F.col("c") + 1)))
-    plan = plan.select(F.col("tab").alias("_t"), F.col("src").alias("_s"), F.col("day").alias("_d"), "c", goes.alias("goes"))
+    plan = with_reach(plan, by, ["tab", "src"], "n", "c", MARGIN, MARGIN, "goes")
+    plan = plan.select(F.col("tab").alias("_t"), F.col("src").alias("_s"), F.col("day").alias("_d"), "c", "goes")
     placed = rec.join(plan, (F.col("tab") == F.col("_t")) & F.col("src").eqNullSafe(F.col("_s")) & (F.col("day") == F.col("_d")))
     rows = placed.select("tab", "src", F.col("c").alias("own"), F.explode("goes").alias("c"), "t", "rid", "y").withColumn("own", F.col("own") == F.col("c"))
     lanes = rows.repartition("tab", "src", "c").sortWithinPartitions("tab", "src", "c", "t", "rid")

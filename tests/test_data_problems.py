@@ -312,6 +312,18 @@ def test_planted_readings_are_found_whole_and_in_chunks(spark):
         assert {r["reason"] for r in out} == {"impossible", "stuck", "spike"}
 
 
+def test_stuck_run_over_a_short_chunk(spark):
+    rng = np.random.default_rng(10)
+    sizes = [190, 408, 3, 200]  # a burst on the second day leaves the third a chunk of its own
+    rows, day = [], [d for d, n in enumerate(sizes) for _ in range(n)]
+    for i, d in enumerate(day):
+        rows.append((i, "s", T0.replace(hour=0, minute=0) + dt.timedelta(days=d, minutes=2 * (i - day.index(d))), float(rng.normal(10, 0.2))))
+    rows = [(i, s, t, 10.5 if 593 <= i < 605 else v) for i, s, t, v in rows]
+    df = spark.createDataFrame(rows, "id long, s string, at timestamp, v double")
+    out = implausible_readings([Readings("m", df, "s", "at", "id", "v", 0, 100)], chunk=200).collect()
+    assert {r["record_id"] for r in out} == set(range(593, 605)) and {r["reason"] for r in out} == {"stuck"}
+
+
 def test_slow_rises_steps_and_short_series_are_no_spikes(spark):
     rng = np.random.default_rng(9)
     y = np.concatenate([rng.normal(10, 0.2, 200), rng.normal(18, 0.2, 200), 18 + np.arange(200) / 8 + rng.normal(0, 0.2, 200)])

@@ -145,6 +145,21 @@ def test_blocks_give_what_whole_series_give(spark, bad_at):
     assert np.allclose(a[a.g == "b"].ew_mean, ewm.mean()) and np.allclose(a[a.g == "b"].ew_var, ewm.var(bias=True))
 
 
+def test_blocks_shorter_than_the_reach(spark):
+    at = [*range(20), *(20 + k / 1000 for k in range(17)), *range(21, 41)]  # a burst, then a block of few rows
+    df = spark.createDataFrame([(float(t), float(i * i % 23)) for i, t in enumerate(at)], "t double, x double")
+
+    def results(whole):
+        parts = [
+            rolling.rolling(df, "x", 9, ["t"], stats=["mean", "median"], whole_rows=whole), scans.lagged(df, "x", ["t"], kind="lag", k=12, out="d", whole_rows=whole),
+            scans.convolve_valid(df, "x", [1.0] * 14, ["t"], out="c", whole_rows=whole),
+        ]
+        return [p.toPandas().sort_values("t", ignore_index=True) for p in parts]
+
+    for a, b in zip(results(None), results(8)):
+        pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-9)
+
+
 def test_normalisation(series, column):
     assert column(normalize.zscore(series([1, 2, 3, 4, 5]), "x", (), "z"), "z") == pytest.approx([-(2**0.5), -(0.5**0.5), 0, 0.5**0.5, 2**0.5])
     assert column(normalize.zscore(series([4, 4]), "x", (), "z"), "z") == [0, 0]
