@@ -77,7 +77,10 @@ def runs_of_equals(y: np.ndarray) -> np.ndarray:
 
 
 def spike_mask(y: np.ndarray, z: np.ndarray, variance: float, candidate: float, threshold: float) -> np.ndarray:
-    """Which candidates (innovation beyond ``candidate``) lie beyond ``threshold`` scatters of the level around them and are back within a few readings."""
+    """Which readings lie beyond ``threshold`` scatters of the level around them and are back within a few readings.
+
+    The level is a median without the candidates (innovation beyond ``candidate``); a reading need not be a candidate.
+    """
     out = np.zeros(len(y), dtype=bool)
     s = np.sqrt(variance)
     skip = np.abs(np.nan_to_num(z)) > candidate
@@ -105,8 +108,8 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
     A local-level Kalman filter runs over each source's readings in order of time and id; its noise is the
     source's robust scatter about its level and the level's walk. Innovations beyond ``candidate`` are candidates
     and withheld from the filter; after a few withheld in a row the level has moved and the filter starts again.
-    A candidate is a spike where it is further than ``threshold`` scatters from the median of the readings around
-    it and the excursion ends within a few readings. Innovation variance that vanishes shows as runs of equal
+    A reading is a spike, candidate or not, where it is further than ``threshold`` scatters from the median of the
+    readings around it, candidates left out, and the excursion ends within a few readings. Innovation variance that vanishes shows as runs of equal
     values: 12 or more, with missing values passed over, are stuck. Impossible and stuck readings are kept from the
     filter.
 

@@ -12,7 +12,7 @@ from strandline.operators.impute import Category, Number, chow_liu, fill_missing
 from strandline.operators.orphans import Reference, folded_name, orphan_cascade, orphans_at
 from strandline.operators.percentiles import merge_sketches, read_percentiles, sketch_groups
 from strandline.operators.regular_grid import regular_grid
-from strandline.operators.spikes import Readings, implausible_readings
+from strandline.operators.spikes import Readings, implausible_readings, spike_mask
 from strandline.operators.trailing import TwoStackQueue, trailing_totals, two_stack_windows
 
 NAN = float("nan")
@@ -312,6 +312,12 @@ def test_planted_readings_are_found_whole_and_in_chunks(spark):
         assert {r["reason"] for r in out} == {"impossible", "stuck", "spike"}
 
 
+def test_spikes_need_no_candidate():
+    y = np.random.default_rng(11).normal(10, 0.2, 60)
+    y[30] += 3
+    assert np.flatnonzero(spike_mask(y, np.zeros(60), 0.04, 4.0, 8.0)).tolist() == [30]
+
+
 def test_stuck_run_over_a_short_chunk(spark):
     rng = np.random.default_rng(10)
     sizes = [190, 408, 3, 200]  # a burst on the second day leaves the third a chunk of its own
