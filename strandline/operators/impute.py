@@ -146,8 +146,8 @@ def fill_missing_values(
     for each target ``<field>_filled`` (true: the value is a filling).
 
     Nodes of the tree are the fields, the hour, and for each target what its source shows around the record: the
-    mean of the last value before and the first after it on that day, else the mean of the source (for categories
-    its commonest value). Numbers are cut into ``bins`` classes of equal frequency. The tree of the largest mutual
+    mean of the last value before and the first after it, on that day or the nearest day that has one, else the mean
+    of the source (for categories its commonest value). Numbers are cut into ``bins`` classes of equal frequency. The tree of the largest mutual
     information over all records is fitted, messages give the posterior of each absent field, and that is decoded
     to its mode (category) or to the median of the class that holds the posterior's median (number).
 
@@ -156,7 +156,8 @@ def fill_missing_values(
     its mark set. An empty table gives an empty result. Columns other than those named are dropped, so clashing
     names do not matter.
 
-    The records are shuffled once, by source and day, so a source with a third of all rows is many groups; the
+    The records are shuffled once, by source and day, so a source with a third of all rows is many groups; what other
+    days show comes from a table of one row per source and day; the
     statistics of a source are joined to it under adaptive skew handling. Pair counts are summed before they are
     shuffled and hold at most pairs x bins^2 rows, whatever the data's size.
     """
@@ -180,6 +181,22 @@ def fill_missing_values(
             x = prefix[f.name]
             recs = recs.withColumn(f"{x}_a", F.last(x, ignorenulls=True).over(after))
     recs = materialize(recs, "records")
+    near = [prefix[f.name] for f in numbers if f.target]
+    if near:  # a day's records also see the days before and after it: a short table of the ends of days
+        at = F.struct("ts", "rid")
+        ends = recs.where("day is not null").groupBy("src", "day").agg(
+            *[F.min_by(x, F.when(F.col(x).isNotNull(), at)).alias(f"{x}_first") for x in near],
+            *[F.max_by(x, F.when(F.col(x).isNotNull(), at)).alias(f"{x}_last") for x in near],
+        )
+        days = W.partitionBy("src").orderBy("day")
+        earlier, later = days.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("src").orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(
+            F.col("src").alias("_s"), F.col("day").alias("_d"),
+            *[F.last(f"{x}_last", ignorenulls=True).over(earlier).alias(f"{x}_eb") for x in near],
+            *[F.last(f"{x}_first", ignorenulls=True).over(later).alias(f"{x}_ea") for x in near],
+        )
+        recs = recs.join(carried, F.col("src").eqNullSafe(F.col("_s")) & (F.col("day") == F.col("_d")), "left")
+        recs = recs.withColumns({f"{x}_{e}": F.coalesce(f"{x}_{e}", f"{x}_e{e}") for x in near for e in "ba"}).drop("_s", "_d", *[f"{x}_e{e}" for x in near for e in "ba"])
     stats = recs.groupBy("src").agg(
         *[F.avg(prefix[f.name]).alias(f"{prefix[f.name]}_s") for f in numbers if f.target],
         *[F.mode(prefix[f.name], deterministic=True).alias(f"{prefix[f.name]}_s") for f in cats if f.target],

@@ -140,6 +140,20 @@ def test_filling_edges(spark):
     assert r["humidity_pct"] is None and r["humidity_pct_filled"] and r["site_type"] is None and r["site_type_filled"]
 
 
+def test_fill_days_without_values_from_the_days_beside(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in ("a", "b"):
+        for h in range(24 * 40):
+            v = (5 if (h // 240) % 2 else 25) + rng.normal(0, 0.3)
+            absent = 24 * 24 <= h < 24 * 25 or 24 * 33 <= h < 24 * 35
+            rows.append((len(rows), s, T0.replace(hour=0, minute=0) + dt.timedelta(hours=h), None if absent else float(v)))
+    df = spark.createDataFrame(rows, "id long, s string, at timestamp, temp double")
+    out = fill_missing_values(df, "s", "at", "id", [Number("temp", -60, 60)]).where("temp_filled").collect()
+    assert len(out) == 2 * 72
+    assert all(abs(r["temp"] - (5 if r["id"] % 960 // 240 % 2 else 25)) < 2 for r in out)
+
+
 # regular grid ----------------------------------------------------------------------------------------------------
 
 
