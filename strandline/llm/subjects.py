@@ -195,23 +195,27 @@ def _fit(x: _Sparse, y: np.ndarray, rounds: int, decay: float = 1e-6, rate: floa
     return weights, bias.astype(np.float32)
 
 
-def fit_subjects(examples: list[tuple[str, str]], unlabelled: list[str], rounds: int = 50, max_sentences: int = 12_000) -> SubjectModel:
+def fit_subjects(examples: list[tuple[str, str]], unlabelled: list[str], rounds: int = 50, max_example_sentences: int = 100_000, max_ruling_sentences: int = 12_000) -> SubjectModel:
     """Classifiers from labelled texts and weakly labelled sentences of ``unlabelled`` rulings.
 
     Every sentence gets weak labels from the label of its example or the part of its ruling, see :func:`_weak_labels`;
     then a linear classifier is fitted for each subject, and one for being about any, and each subject's threshold is
-    set where it parts the sentences held back from the fit best.
+    set where it parts the sentences held back from the fit best. Examples and rulings are read until they have given
+    ``max_example_sentences`` and ``max_ruling_sentences``, each for itself.
     """
     codes = sorted({c for _, c in examples})
     hashes = WordHashes()
     flat, label, text = [], [], []
     for t, code in examples:
+        if len(flat) >= max_example_sentences:
+            break
         s = sentences(t)[0]
         flat += s
         label += [codes.index(code)] * len(s)
         text += [(text[-1] + 1) if text else 0] * len(s)
+    of_examples = len(flat)
     for t in unlabelled:
-        if len(flat) >= max_sentences:
+        if len(flat) - of_examples >= max_ruling_sentences:
             break
         s, part = sentences(t)
         flat += s
@@ -271,7 +275,7 @@ def subject_counts(model: SubjectModel, texts: Sequence[str | None], hashes: Wor
 
 def subject_areas(
     docs: DataFrame, examples: DataFrame, doc_id: str, text: str, example_text: str, label: str, group: str | None = None,
-    share: float = 0.2, max_examples: int = 20_000, max_rulings: int = 1_000,
+    share: float = 0.2, max_examples: int = 20_000, max_rulings: int = 1_000, max_example_sentences: int = 100_000, max_ruling_sentences: int = 12_000,
 ) -> DataFrame:
     """The subjects of each text: ``doc_id``, ``subject_code``, ``share`` (of its factual sentences), ``n_facts``.
 
@@ -282,7 +286,8 @@ def subject_areas(
 
     Classifiers are fitted on the driver on at most ``max_examples`` labelled texts and on the sentences of at most
     ``max_rulings`` rulings (those with the lowest hashes, one for each ``group`` value) with weak labels from the
-    examples and the rulings' parts, see :func:`fit_subjects`. Null labels and texts are left out of the fit, repeats
+    examples and the rulings' parts, see :func:`fit_subjects`, which reads at most ``max_example_sentences`` and
+    ``max_ruling_sentences`` of them. Null labels and texts are left out of the fit, repeats
     count once, and wrong labels weigh little among many. Every text is classified whole. Null and empty texts, and
     texts without factual sentences, give no row; rows that repeat an id give the rows of each. Without any labelled
     example the result is empty. Languages are not told apart. No shuffle of texts.
@@ -296,7 +301,7 @@ def subject_areas(
             chosen.setdefault(r["g"], r["id"])
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen.values()], T.StructType([T.StructField("_id", docs.schema[doc_id].dataType)]))
     sample = docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi").orderBy(doc_id, text).limit(max_rulings)  # at most max_rulings ids
-    model = fit_subjects(rows, [r[1] for r in sample.collect()]) if rows else SubjectModel([], np.zeros((BUCKETS, 1), dtype=np.float32), np.full(1, -1.0, dtype=np.float32), np.zeros(0))
+    model = fit_subjects(rows, [r[1] for r in sample.collect()], max_example_sentences=max_example_sentences, max_ruling_sentences=max_ruling_sentences) if rows else SubjectModel([], np.zeros((BUCKETS, 1), dtype=np.float32), np.full(1, -1.0, dtype=np.float32), np.zeros(0))
     out = T.StructType([docs.schema[doc_id], T.StructField("subject_code", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("n_facts", T.LongType())])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

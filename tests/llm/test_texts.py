@@ -246,6 +246,16 @@ def test_held_out_mixtures(spark, data):
     assert hits / said > 0.8 and hits / there > 0.85
 
 
+def test_many_examples_leave_room_for_rulings():
+    rng = np.random.default_rng(15)
+    examples = [(f"The {LEXICON[a]} was {LEXICON[b]} there. It met {LEXICON[c]} too.", "xy"[k % 2]) for k, (a, b, c) in enumerate(rng.integers(0, 60, (6100, 3)) + 60 * (np.arange(6100) % 2)[:, None])]
+    rulings = ["IN THE COURT\n\nBetween A and B.\n\nJUDGMENT\n\nThe clerk saw the wall. It was wet.\n\nORDER\n\nThe appeal is dismissed."] * 20
+    with_rulings, without = fit_subjects(examples, rulings, rounds=5), fit_subjects(examples, [], rounds=5)
+    assert (with_rulings.weights != without.weights).any()
+    few = fit_subjects(examples, rulings, rounds=5, max_example_sentences=400, max_ruling_sentences=0)
+    assert (few.weights == fit_subjects(examples[:200], [], rounds=5).weights).all()
+
+
 def test_subject_edges(spark, data):
     ex = spark.read.parquet(f"{data}/subject_examples.parquet")
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "docket_no").limit(60)
