@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 
 WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile("[ÂÃâ][\u0080-ÿŒ-ƒˆ˜‐-™]{1,2}")
@@ -48,15 +52,41 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).replace("ß", "ss")
 
 
-class WordIds(dict):
-    """Raw word to the id of its folded form, 0 if not in ``vocabulary``; what was looked up is kept, up to a bound."""
+_ASCII = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
+_LETTER = np.zeros(0x110000, dtype=bool)  # filled for the characters that occur
+_ASKED = np.zeros(0x110000, dtype=bool)
+
+
+def _word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to letters or digits, as :data:`WORD` has them."""
+    inside = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead]
+        size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+        code = (first & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]).astype(np.int64)
+        for k in range(1, 4):
+            more = size > k
+            code[more] = code[more] << 6 | (data[lead[more] + k] & 0x3F)
+        new = np.unique(code[~_ASKED[code]])
+        _LETTER[new] = [chr(c).isalnum() for c in new.tolist()]
+        _ASKED[new] = True
+        off = ~_LETTER[code]
+        for k in range(4):
+            inside[lead[off & (size > k)] + k] = False
+    return inside
 
-    def __init__(self, vocabulary: dict[str, int], bound: int = 2_000_000) -> None:
-        super().__init__()
-        self.vocabulary, self.bound = vocabulary, bound
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        found = self[word] = self.vocabulary.get(fold(word), 0)
-        return found
+def coded_words(texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of cleaned texts: the different words without accents, the number of each word in order, and how many words each text has."""
+    raw = [clean(t).encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    inside = _word_bytes(data)
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, end = edge[::2], edge[1::2]
+    offsets = np.append(0, np.cumsum(end - begin))
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    coded = words.dictionary_encode()
+    after = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, dtype=np.int64)
+    upto = np.searchsorted(begin, after)
+    return [fold(w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(upto, prepend=0)

@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm.leak import Passages, WordShapes, align, bands, leaked_passages, matches, reach, seeds, without_leaks
+from strandline.llm.leak import Passages, Shard, WordShapes, align, bands, leaked_passages, matches, reach, seed_spread, without_leaks
 from strandline.llm.pack import pack_texts, plan_containers, token_counts
 from strandline.llm.subjects import WordHashes, fit_subjects, sentences, subject_areas, subject_counts
-from strandline.llm.words import WordIds, words
+from strandline.llm.words import coded_words, fold, words
 
 # words -----------------------------------------------------------------------------------------------------------
 
@@ -14,7 +14,10 @@ def test_words():
     assert words(None) == words("") == []
     assert words("A<br/>b&#44; c​d  Zeich-\nnung") == ["a", "b", "cd", "zeichnung"]
     assert words("dafÃ¼r") == ["dafür"] and words("für") == ["für"]
-    assert WordIds({"fur": 3})["für"] == 3 and WordIds({}, bound=1)["x"] == 0
+    texts = ["A<br/>b&#44; c​d  Zeich-\nnung", None, "", "für_die «Sache» 12,5 ½ 日本 😀x", "dafÃ¼r", "a\nb" * 50]
+    different, codes, n = coded_words(texts)
+    assert [different[c] for c in codes] == [fold(w) for t in texts for w in words(t)] and n.tolist() == [len(words(t)) for t in texts]
+    assert coded_words([])[2].tolist() == []
 
 
 # packing ---------------------------------------------------------------------------------------------------------
@@ -97,9 +100,8 @@ def test_matches_against_brute_force():
     rng = np.random.default_rng(8)
     few = LEXICON[:6]
     p = Passages([(i, " ".join(rng.choice(few, 40))) for i in range(3)])
-    text = [str(w) for w in rng.choice(few + ["zzz"], 300)]
-    ids = np.array([*map(WordIds(p.vocabulary).__getitem__, text), 0, 0, 0, 0])
-    a, b, n = matches(ids, p, np.ones(len(p.keys), dtype=bool))
+    text = [str(w) for w in rng.choice(few + ["zzz"], 300)] + p.words[0][5:33] + ["zzz"] + p.words[0][5:33]
+    a, b, n = matches(Shard([" ".join(text)]).ids(p), p, p.seed_of >= 0)
     got = set(zip((p.item[a]).tolist(), p.at[a].tolist(), b.tolist(), n.tolist()))
     want = set()
     for k, w in enumerate(p.words):
@@ -111,7 +113,31 @@ def test_matches_against_brute_force():
                         m += 1
                     if m >= 4:
                         want.add((k, i, j, m))
-    assert got == want and len(seeds(np.array([1, 2]), p.base)) == 0
+    assert got == want and len(a) == len(want) and len(p.seeds(np.array([1, 2]))) == 0
+
+
+def test_seeds_of_very_many_words():
+    rng = np.random.default_rng(15)
+    text = [f"w{i}" for i in rng.integers(0, 400_000, 180_000)]
+    p = Passages([(1, " ".join(text))])
+    assert len(p.vocabulary) > 140_000
+    found = p.seeds(Shard([" ".join(text)]).ids(p))
+    assert (found[: len(text) - 3] == p.seed_of[: len(text) - 3]).all() and (found[: len(text) - 3] >= 0).all()
+    assert (p.seeds(Shard([" ".join(text[::-1])]).ids(p)) < 0).mean() > 0.99
+    again = [*text[1000:1300], "zzz", *text[177_000:]]
+    a, b, n = matches(Shard([" ".join(again)]).ids(p), p, p.seed_of >= 0)
+    assert (1000, 0, 300) in zip(a, b, n) and (177_000, 301, 3000) in zip(a, b, n)
+
+
+def test_spread_of_seeds(spark):
+    rng = np.random.default_rng(16)
+    p = Passages([(k, " ".join(prose(90, rng))) for k in range(3)])
+    docs = [(f"g{d % 400}", " ".join([*prose(30, rng), *p.words[0][:40], *(p.words[1] if d % 8 == 0 else [])])) for d in range(800)]
+    spread, total = seed_spread(spark.createDataFrame(docs, "g string, text string").repartition(5), "text", "g", p)
+    assert abs(total - 400) < 120
+    assert abs(np.median(spread[p.seed_of[p.starts[0] : p.starts[0] + 37]]) - 400) < 120
+    assert abs(np.median(spread[p.seed_of[p.starts[1] : p.starts[1] + 87]]) - 50) < 15
+    assert (spread[p.seed_of[p.starts[2] : p.starts[2] + 87]] == 0).all()
 
 
 def test_planted_leaks(spark):
@@ -136,7 +162,7 @@ def test_planted_leaks(spark):
         docs.append((d, " ".join(parts), "hot" if d % 3 == 0 else f"g{d}", 1))
     docs += [(400, None, "a", 1), (401, "", None, 1), (402, " ".join(passages[0]) + " x" * 200_000, None, 1), docs[0]]
     want.add((402, 0))
-    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(50, STOCK), (51, None), (52, ""), (None, STOCK)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(50, " ".join([*prose(50, rng), STOCK])), (51, None), (52, ""), (None, STOCK)]
     df = spark.createDataFrame(docs, "id long, text string, g string, _id int").repartition(3)
     it = spark.createDataFrame(items, "item long, passage string")
     out = leaked_passages(df, it, "id", "text", "item", "passage", "g")
@@ -182,20 +208,45 @@ def test_copies_under_many_groups_are_no_stock(spark):
     copy = " ".join([*prose(40, rng), *passage, *prose(40, rng)])
     docs = [(k, copy if k < 60 else " ".join([*prose(80, rng), *STOCK.split()]), f"g{k}") for k in range(200)]
     df = spark.createDataFrame(docs, "id long, text string, g string").repartition(3)
-    it = spark.createDataFrame([(1, " ".join(passage)), (2, STOCK)], "item long, passage string")
+    it = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join([*prose(50, rng), STOCK]))], "item long, passage string")
     out = leaked_passages(df, it, "id", "text", "item", "passage", "g").collect()
     assert {(r["id"], r["item"]) for r in out} == {(k, 1) for k in range(60)}
 
 
+def test_passages_in_very_many_rulings(spark):
+    rng = np.random.default_rng(17)
+    passages = [prose(90, rng), [*prose(40, rng), *STOCK.split(), *prose(40, rng)]]
+    docs = [(k, " ".join([*prose(60, rng), *(passages[k % 2] if k < 60 else []), *prose(60, rng), *STOCK.split()]), f"g{k}") for k in range(100)]
+    df = spark.createDataFrame(docs, "id long, text string, g string").repartition(3)
+    it = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item long, passage string")
+    out = leaked_passages(df, it, "id", "text", "item", "passage", "g").collect()
+    assert {(r["id"], r["item"]) for r in out} == {(k, k % 2) for k in range(60)}
+    assert {(r["item"], r["verbatim"]) for r in out} == {(0, 90), (1, 120)}
+
+
+def test_parts_with_changed_letters_are_found(spark):
+    rng = np.random.default_rng(18)
+    passages = [prose(90, rng) for _ in range(4)]
+    docs = []
+    for k in range(20):
+        part = [w[:3] + "z" + w[4:] if i % 5 == 2 else w for i, w in enumerate(passages[k % 4][2 * k : 2 * k + 35])]
+        docs.append((k, " ".join([*prose(60, rng), *part, *prose(60, rng)])))
+    df = spark.createDataFrame(docs, "id long, text string").repartition(2)
+    it = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item long, passage string")
+    out = leaked_passages(df, it, "id", "text", "item", "passage").collect()
+    assert {(r["id"], r["item"]) for r in out} == {(k, k % 4) for k in range(20)}
+
+
 def test_reach_and_bands_bound_the_alignment():
     rng = np.random.default_rng(12)
     few = [*LEXICON[:3], LEXICON[0][:-1] + "z", "ab", LEXICON[5]]
     p = Passages([(i, " ".join(rng.choice(few, 40))) for i in range(3)])
     texts = [[str(w) for w in rng.choice(few, 70)] for _ in range(12)]
-    ids = np.concatenate([np.array([*map(WordIds(p.vocabulary).__getitem__, t), 0, 0, 0, 0]) for t in texts])
-    a, b, n = matches(ids, p, np.ones(len(p.keys), dtype=bool))
+    shard = Shard([" ".join(t) for t in texts])
+    a, b, n = matches(shard.ids(p), p, p.seed_of >= 0)
     shapes = WordShapes()
-    numbers, there = np.append(shapes.number(p.words), [0] * 4), shapes.number(texts)
+    numbers = np.append(np.concatenate([np.append(shapes.number(w), [0] * 4) for w in p.words]), [0] * 4)
+    there = shard.laid_out(shapes.number(shard.words))
     (before, n_before), (after, n_after) = reach(shapes, numbers, there, a - 1, b - 1, -1), reach(shapes, numbers, there, a + n, b + n, 1)
     text, start = b // 74, p.starts[p.item[a]]
     for k in range(len(a)):
