@@ -32,10 +32,9 @@ def sentences(text: str | None) -> tuple[list[str], list[int]]:
     for block in _END.split(clean(text)):
         if len(block) < 24:
             m = _LINE.match(block.strip())
-            if m and m.group(1) in BODY:
-                now = 1
-            elif m and m.group(1) in ORDER:
-                now = 2
+            if m and m.group(1) in BODY | ORDER:  # a heading is no sentence
+                now = 1 if m.group(1) in BODY else 2
+                continue
         elif now == 0 and "\n" in block and any(w in BODY for w in block.split("\n")):
             now = 1
         if block and not block.isspace():
