@@ -139,18 +139,41 @@ class _Sparse:
         return out
 
 
-def _weak_labels(x: _Sparse, label: np.ndarray, text: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
+def _kept_company(x: _Sparse, now: np.ndarray, text: np.ndarray, k: int, learn: np.ndarray, least: float = 0.35) -> np.ndarray:
+    """Whether the other sentences of the texts that each bucket lies in are about the subject, for ``least`` of them at least.
+
+    Words of a subject lie in texts about it; a phrase of the talk that was taken for one lies in texts about all of them.
+    True where fewer than two texts tell.
+    """
+    texts = int(text.max(initial=0)) + 1
+    told = np.zeros((texts, k), dtype=np.float32)
+    some = now >= 0
+    np.add.at(told, (text[some], now[some]), 1)
+    seen = np.flatnonzero(learn[x.row])
+    pair, at = np.unique(x.col[seen] * texts + text[x.row[seen]], return_inverse=True)
+    rest = told[pair % texts]
+    inside = np.flatnonzero(some[x.row[seen]])
+    np.subtract.at(rest, (at[inside], now[x.row[seen[inside]]]), 1)  # not the sentences with the bucket itself
+    size = rest.sum(axis=1, keepdims=True)
+    share = np.zeros((len(x.buckets), k), dtype=np.float32)
+    np.add.at(share, pair // texts, rest / np.maximum(size, 1))
+    n = share.sum(axis=1, keepdims=True)
+    return (share >= least * n) | (n < 2)
+
+
+def _weak_labels(x: _Sparse, label: np.ndarray, text: np.ndarray, k: int, learn: np.ndarray, rounds: int = 5) -> np.ndarray:
     """Weight of each subject for every sentence: one subject, or none (all zero).
 
     ``label``: subject of the example a sentence is from, -1 for body sentences of rulings, -2 for sentences of heads
     and orders, which are about none. Words and pairs that occur nearly only in texts of one subject speak for it: first
     by the examples' labels, then, round by round, by the sentences labelled so far. A sentence is about the
-    subject that is spoken for clearly most; an example's sentence about its own or none.
+    subject that is spoken for clearly most; an example's sentence about its own or none. What words speak for is learned
+    from the sentences in ``learn`` alone.
     """
     now = np.where(label >= 0, label, -1)
     texts = int(text.max(initial=0)) + 1
     for step in range(rounds):
-        at = now[x.row] >= 0
+        at = (now[x.row] >= 0) & learn[x.row]
         one = np.unique((x.col[at] * texts + text[x.row[at]]) * k + now[x.row[at]])
         count = np.zeros((len(x.buckets), k))
         np.add.at(count, (one // k // texts, one % k), 1)
@@ -159,10 +182,12 @@ def _weak_labels(x: _Sparse, label: np.ndarray, text: np.ndarray, k: int, rounds
         even = count / np.maximum(size, 1) * size.mean()  # as if every subject had as many words
         other = np.zeros((len(x.buckets), 1))
         if step:  # what is also said without a subject is talk
-            at = now[x.row] < 0
+            at = (now[x.row] < 0) & learn[x.row]
             np.add.at(other, (np.unique(x.col[at] * texts + text[x.row[at]]) // texts, 0), 1)
-        pure = (even + 0.2) / (even.sum(axis=1, keepdims=True) + other + 0.2 * k)
+        pure = (even + 0.05) / (even.sum(axis=1, keepdims=True) + other + 0.05 * k)
         speaks = np.where((pure >= 0.5) & (total >= (2 if step == 0 else 3)), np.log(pure * k), 0)
+        if step:
+            speaks[~_kept_company(x, now, text, k, learn)] = 0
         z = x.times(speaks)
         order = np.sort(z, axis=1)
         clear = (order[:, -1] > 0) & (order[:, -1] - order[:, -2] >= 1.0) & (label != -2)
@@ -194,12 +219,12 @@ def _fit(x: _Sparse, y: np.ndarray, rounds: int, decay: float = 1e-6, rate: floa
     return weights, bias.astype(np.float32)
 
 
-def fit_subjects(examples: list[tuple[str, str]], unlabelled: list[str], rounds: int = 50, max_example_sentences: int = 100_000, max_ruling_sentences: int = 12_000) -> SubjectModel:
+def fit_subjects(examples: list[tuple[str, str]], unlabelled: list[str], rounds: int = 50, max_example_sentences: int = 100_000, max_ruling_sentences: int = 24_000) -> SubjectModel:
     """Classifiers from labelled texts and weakly labelled sentences of ``unlabelled`` rulings.
 
     Every sentence gets weak labels from the label of its example or the part of its ruling, see :func:`_weak_labels`;
     then a linear classifier is fitted for each subject, and one for being about any, and each subject's threshold is
-    set where it parts the sentences held back from the fit best. Examples and rulings are read until they have given
+    set where it parts best the sentences of rulings held back from the fit and from the words that made the labels. Examples and rulings are read until they have given
     ``max_example_sentences`` and ``max_ruling_sentences``, each for itself.
     """
     codes = sorted({c for _, c in examples})
@@ -222,11 +247,11 @@ def fit_subjects(examples: list[tuple[str, str]], unlabelled: list[str], rounds:
         text += [(text[-1] + 1) if text else 0] * len(s)
     label_a, text_a = np.array(label, dtype=np.int64), np.array(text, dtype=np.int64)
     f, n = features(flat, hashes)
-    y = _weak_labels(_Sparse(f, n, text_a, 2), label_a, text_a, len(codes))
+    held = (text_a % 5 == 4) & (label_a < 0)  # the few examples of a subject are all needed
+    fit = ~held
+    y = _weak_labels(_Sparse(f, n, text_a, 2), label_a, text_a, len(codes), fit)
     y = np.concatenate([y, y.sum(axis=1, keepdims=True)], axis=1)
     row = np.repeat(np.arange(len(n)), n)
-    held = text_a % 5 == 4
-    fit = ~held
     weights, bias = _fit(_Sparse(f[fit[row]], n[fit], text_a[fit], 2), y[fit], rounds)
     model = SubjectModel(codes, weights, bias, np.zeros(len(codes)))
     z = model.scores(f[held[row]], n[held])
@@ -274,7 +299,7 @@ def subject_counts(model: SubjectModel, texts: Sequence[str | None], hashes: Wor
 
 def subject_areas(
     docs: DataFrame, examples: DataFrame, doc_id: str, text: str, example_text: str, label: str, group: str | None = None,
-    share: float = 0.2, max_examples: int = 20_000, max_rulings: int = 1_000, max_example_sentences: int = 100_000, max_ruling_sentences: int = 12_000,
+    share: float = 0.2, max_examples: int = 20_000, max_rulings: int = 1_000, max_example_sentences: int = 100_000, max_ruling_sentences: int = 24_000,
 ) -> DataFrame:
     """The subjects of each text: ``doc_id``, ``subject_code``, ``share`` (of its factual sentences), ``n_facts``.
 
@@ -299,7 +324,7 @@ def subject_areas(
         if len(chosen) < max_rulings:
             chosen.setdefault(r["g"], r["id"])
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen.values()], T.StructType([T.StructField("_id", docs.schema[doc_id].dataType)]))
-    sample = docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi").orderBy(doc_id, text).limit(max_rulings)  # at most max_rulings ids
+    sample = docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi").orderBy(F.xxhash64(doc_id), doc_id, text).limit(max_rulings)  # at most max_rulings ids
     model = fit_subjects(rows, [r[1] for r in sample.collect()], max_example_sentences=max_example_sentences, max_ruling_sentences=max_ruling_sentences) if rows else SubjectModel([], np.zeros((BUCKETS, 1), dtype=np.float32), np.full(1, -1.0, dtype=np.float32), np.zeros(0))
     out = T.StructType([docs.schema[doc_id], T.StructField("subject_code", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("n_facts", T.LongType())])
 
