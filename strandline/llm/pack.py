@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,73 +25,149 @@ RANK_ROWS = 5_000_000
 
 @dataclass
 class Packing:
-    """Container patterns: how many items of each length, and how often the pattern is used."""
+    """Container patterns: how many items of each length, and how often the pattern is used.
+
+    ``lp_value``: containers of the fractional packing; ``lp_bound``: no packing has fewer; ``from_lp``: containers that
+    hold a pattern of the linear program, the others were filled longest first.
+    """
 
     patterns: list[dict[int, int]]
     times: list[int]
     lower_bound: int
+    lp_value: float = 0.0
+    lp_bound: float = 0.0
+    from_lp: int = 0
+
+
+class _Knapsack:
+    """Best fill of every capacity by dynamic programming: the items whose prices add up to most."""
+
+    def __init__(self, prices: np.ndarray, lengths: np.ndarray, capacity: int) -> None:
+        """``lengths`` fall, so that of equal fills the one with the longest item is taken."""
+        self.lengths, self.prices = lengths, prices
+        self.best = best = np.zeros(capacity + 1)
+        self.pick = pick = np.full(capacity + 1, -1, dtype=np.int64)
+        first = np.searchsorted(-lengths, -np.arange(capacity + 1)).tolist()
+        for c in range(int(lengths[-1]), capacity + 1):
+            k = first[c]
+            gain = best[c - lengths[k:]] + prices[k:]
+            i = int(gain.argmax())
+            if gain[i] > best[c - 1]:
+                best[c], pick[c] = gain[i], k + i
+            else:
+                best[c] = best[c - 1]
+
+    def fill(self, room: int, first: int | None = None) -> dict[int, int]:
+        """Counts by item of the best fill, or of the best that holds the item ``first``."""
+        out: dict[int, int] = {}
+        if first is not None:
+            out[first] = 1
+            room -= int(self.lengths[first])
+        while room >= self.lengths[-1]:
+            i = int(self.pick[room])
+            if i < 0:
+                room -= 1
+                continue
+            out[i] = out.get(i, 0) + 1
+            room -= int(self.lengths[i])
+        return out
+
+
+def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float = 0.25, wide: int = 256) -> tuple[dict[tuple[tuple[int, int], ...], float], float, float, np.ndarray]:
+    """Fractional packing by multiplicative weights: shares of patterns (item and count) that cover all counts on average,
+    the value of the shares that cover each, a lower bound and the prices that give it.
+
+    ``lengths`` fall, ``counts`` are what the patterns must cover. The weight of an item starts at its length and falls
+    exponentially with the share of its count that is covered; weights are the prices (duals) of a knapsack solved by
+    dynamic programming. The table gives the best pattern that holds each item; those within a factor of the best
+    that narrows from round to round are taken for a step, at most ``wide``, the least covered items first, which raises no coverage by more than ``step`` over
+    the rate. Prices over the best fill are a solution of the dual program, so each round gives a lower bound.
+    """
+    m = len(lengths)
+    rate = 4.0 + np.log(m + 1)
+    covered = np.zeros(m)
+    shares: dict[tuple[tuple[int, int], ...], float] = {}
+    best_bound, best_prices = 0.0, np.zeros(m)
+    rng = np.random.default_rng(1)
+    for r in range(rounds):
+        prices = lengths * np.exp(-rate * (covered - covered.min()))
+        table = _Knapsack(prices * (1 + 1e-4 * rng.random(m)) if r else prices, lengths, capacity)
+        top = table.best[capacity]
+        least = float(prices @ counts) / (top * (1.0001 if r else 1.0))
+        if least > best_bound:
+            best_bound, best_prices = least, prices / top
+        value = table.prices + table.best[capacity - lengths]
+        near = np.flatnonzero(value >= (1 - 0.05 * 0.05 ** (r / rounds)) * top)
+        near = near[np.argsort(covered[near], kind="stable")][:wide]
+        patterns = {tuple(sorted(table.fill(capacity, int(i)).items())) for i in near}
+        gain = np.zeros(m)
+        sizes = []
+        for key in patterns:
+            size = min(counts[i] / k for i, k in key)
+            sizes.append(size)
+            for i, k in key:
+                gain[i] += size * k / counts[i]
+        scale = step * 0.1 ** (r / rounds) / (rate * gain.max())
+        for key, size in zip(patterns, sizes):
+            shares[key] = shares.get(key, 0.0) + scale * size
+        covered += scale * gain
+    if covered.min() <= 0:  # items of no taken pattern: each alone fills up a container
+        for i in np.flatnonzero(covered <= 0):
+            key = ((int(i), int(capacity // lengths[i])),)
+            shares[key] = float(counts[i]) / key[0][1] * max(float(np.median(covered[covered > 0])) if (covered > 0).any() else 1.0, 1e-9)
+            covered[i] = shares[key] * key[0][1] / counts[i]
+    size = lengths * counts
+    mean = float(covered @ size / size.sum())
+    shares = {key: x / mean for key, x in shares.items()}
+    lacking = np.maximum(1 - covered / mean, 0) * counts  # covered by containers of one length each
+    return shares, sum(shares.values()) + float((lacking / (capacity // lengths)).sum()), best_bound, best_prices
 
 
-def _best_fill(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the items whose prices add up to most within the capacity."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, dtype=np.int64)
-    for c in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        gain = best[c - lengths[:k]] + prices[:k]
-        i = int(gain.argmax())
-        if gain[i] > best[c - 1]:
-            best[c], pick[c] = gain[i], i
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c >= lengths[0]:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        n = int(lengths[pick[c]])
-        out[n] = out.get(n, 0) + 1
-        c -= n
-    return out
-
-
-def plan_containers(histogram: dict[int, int], capacity: int, rounds: int = 200, rate: float = 0.5) -> Packing:
+def plan_containers(histogram: dict[int, int], capacity: int, rounds: int = 120) -> Packing:
     """Patterns that hold all items of a histogram of lengths (1 to ``capacity``).
 
     The configuration LP (fewest containers, each pattern a variable, each length covered) is solved by
-    multiplicative weights: lengths covered less than others gain weight, the dearest pattern is priced by a
-    knapsack, and the patterns' shares add up. Shares are rounded down to whole uses within what is left; what
-    remains is filled longest first, each time with the longest that still fits.
+    :func:`configuration_lp`. Shares are rounded down to whole uses; what they leave of a use is rounded up as long as the items
+    last, the patterns worth most at the dual prices and those of the longest items first. What is left over is a smaller program, solved and rounded the same way
+    with half the rounds, until patterns take less than a fiftieth of it; only the remainder is filled longest first, each time with the
+    longest that still fits.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     if not left:
         return Packing([], [], 0)
-    lengths = np.array(sorted(left))
-    counts = np.array([left[n] for n in lengths], dtype=float)
-    tokens = float(lengths @ counts)
+    tokens = sum(n * c for n, c in left.items())
     bound = int(-(-tokens // capacity))
-    place = {int(n): i for i, n in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    shares: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        weight = np.exp(-rate * (covered - covered.min()))
-        pattern = _best_fill(lengths / capacity * (0.5 + weight), lengths, capacity)
-        # the pattern is used for a share of the scarcest of its lengths, which keeps a step's width small
-        use = min(counts[place[n]] / k for n, k in pattern.items()) / 4
-        key = tuple(sorted(pattern.items()))
-        shares[key] = shares.get(key, 0.0) + use
-        for n, k in pattern.items():
-            covered[place[n]] += 4 * k * use / counts[place[n]]
-    total = sum(u * sum(n * k for n, k in key) for key, u in shares.items())
     patterns, times = [], []
-    for key, u in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
-        m = min(int(u * tokens / total), min(left[n] // k for n, k in key))
+    lp_value = lp_bound = 0.0
+
+    def use(pattern: dict[int, int], m: int) -> int:
+        m = min(m, *(left.get(n, 0) // k for n, k in pattern.items()))
         if m > 0:
-            patterns.append(dict(key)), times.append(m)
-            for n, k in key:
+            patterns.append(pattern), times.append(m)
+            for n, k in pattern.items():
                 left[n] -= k * m
-    rest = np.array([n for n in lengths if left[n] > 0])
+        return m
+
+    first = True
+    while rounds > 0 and left:
+        lengths = np.array(sorted(left, reverse=True), dtype=np.int64)
+        shares, value, least, prices = configuration_lp(lengths, np.array([left[int(n)] for n in lengths], dtype=float), capacity, rounds)
+        if first:
+            lp_value, lp_bound = value, least
+        total = sum(left.values())
+        worth = {key: round(sum(prices[i] * k for i, k in key), 3) for key in shares}
+        turn = [({int(lengths[i]): k for i, k in key}, shares[key]) for key in sorted(shares, key=lambda x: (-worth[x], x)) if worth[key] > 0.98]
+        for pattern, x in turn:
+            use(pattern, int(x))
+        for pattern, _ in turn:
+            use(pattern, 1)
+        left = {n: c for n, c in left.items() if c > 0}
+        if total - sum(left.values()) < max(total // 50, 1):
+            break
+        rounds = max(rounds // 2, 20) if not first or rounds > 20 else rounds
+        first = False
+    from_lp = sum(times)
+    rest = np.array(sorted(left), dtype=np.int64)
     while len(rest):
         room, pattern, i = capacity, {}, len(rest) - 1
         while i >= 0:
@@ -100,23 +177,26 @@ def plan_containers(histogram: dict[int, int], capacity: int, rounds: int = 200,
                 pattern[n] = k
                 room -= n * k
             i = min(i - 1, int(np.searchsorted(rest, room, side="right")) - 1)
-        m = min(left[n] // k for n, k in pattern.items())
-        patterns.append(pattern), times.append(m)
-        for n, k in pattern.items():
-            left[n] -= k * m
-        rest = np.array([n for n in rest if left[n] > 0])
-    return Packing(patterns, times, bound)
+        use(pattern, min(left[n] // k for n, k in pattern.items()))
+        rest = np.array([n for n in rest if left[n] > 0], dtype=np.int64)
+    return Packing(patterns, times, max(bound, int(np.ceil(lp_bound - 1e-6))), lp_value, lp_bound, from_lp)
+
+
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str):
+    """The tokenizer's function, read once for each Python worker."""
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def token_counts(df: DataFrame, item: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``item`` and ``n_tokens`` of its whole text (0 for null and empty texts)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = _encoder(vocabulary)
         for b in batches:
             n = [len(encode(x)) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[item, "n_tokens"])
