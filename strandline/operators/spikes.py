@@ -15,11 +15,13 @@ from pyspark.sql import Window as W
 from strandline.functions.kalman import local_level_innovations
 from strandline.functions.times import utc_micros
 from strandline.operators.blocks import with_reach
-from strandline.runtime import column_numpy, key_codes, whole_groups
+from strandline.runtime import column_numpy, key_codes, materialize, whole_groups
 
 DAY_US = 86_400_000_000
 #: Readings of one chunk of a source, and readings beside a chunk that its filter also sees.
 CHUNK, MARGIN = 16_384, 96
+#: Standardised innovation that opens an excursion; those a little larger are withheld from the filter.
+OPENS = 3.0
 #: Readings in a row with one value that make a sensor stuck; readings within which a spike is over.
 STUCK_RUN, SPIKE_RUN = 12, 6
 
@@ -67,34 +69,50 @@ def scatter_and_walk(y: np.ndarray) -> tuple[float, float]:
     return s * s, max(d1 * d1 - 2 * s * s, 0.003 * s * s)
 
 
-def runs_of_equals(y: np.ndarray) -> np.ndarray:
-    """Length of the run of equal values that each position lies in."""
-    if not len(y):
-        return np.zeros(0, dtype=np.int64)
-    start = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
-    size = np.diff(np.append(start, len(y)))
-    return np.repeat(size, size)
+def vanished_variance(innovations: np.ndarray, window: int) -> np.ndarray:
+    """Which readings lie in a run of ``window`` readings or more over which the innovation variance is nothing.
 
-
-def spike_mask(y: np.ndarray, z: np.ndarray, variance: float, candidate: float, threshold: float) -> np.ndarray:
-    """Which readings lie beyond ``threshold`` scatters of the level around them and are back within a few readings.
-
-    The level is a median without the candidates (innovation beyond ``candidate``); a reading need not be a candidate.
+    ``innovations``: those of a filter that follows every reading (a walk read without noise), so a reading's innovation is
+    its difference from the one before; the first has none (NaN). The run's first reading belongs to it.
+    """
+    n = len(innovations)
+    out = np.zeros(n, dtype=bool)
+    if n < window:
+        return out
+    power = np.append(0, np.cumsum(innovations != 0))  # NaN counts, so no window begins before the first reading
+    still = np.flatnonzero(power[window:] == power[1 : n - window + 2])  # the window's readings after its first
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, still, 1)
+    np.add.at(edge, still + window, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def spike_mask(y: np.ndarray, z: np.ndarray, variance: float, candidate: float, threshold: float, opens: float = OPENS) -> np.ndarray:
+    """Which readings are spikes: excursions that hold a gated innovation and end within a few readings.
+
+    ``z``: standardised innovations of the filters forwards and backwards, two rows. A reading with one beyond ``opens``
+    opens an excursion; without any there is no spike. The excursion is the readings on end that are candidates or far
+    from the level around them; those of its readings are flagged that the median of the readings around it, candidates
+    left out, confirms to be beyond ``threshold`` scatters.
     """
     out = np.zeros(len(y), dtype=bool)
     s = np.sqrt(variance)
-    skip = np.abs(np.nan_to_num(z)) > candidate
+    size = np.abs(np.nan_to_num(z)).max(axis=0)
+    gated = size > opens
+    if not gated.any():
+        return out
+    skip = np.abs(np.nan_to_num(z[0])) > candidate  # withheld forwards
     for _ in range(2):
         level = _median_without(y, 5, skip)
-        far = np.abs(y - level) > threshold * s
+        far = np.nan_to_num(np.abs(y - level)) > threshold * s
         if not far.any():
             return out
         skip = far | (skip & (np.abs(y - level) > candidate * s))
-    far = np.nan_to_num(np.abs(y - level)) > threshold * s
+    far = np.nan_to_num(np.abs(y - _median_without(y, 5, skip))) > threshold * s
     # a spike is short: neighbouring far values on end are one excursion
     edge = np.flatnonzero(np.diff(np.concatenate([[0], skip.astype(int), [0]])))
     for a, b in zip(edge[::2], edge[1::2]):
-        if b - a <= SPIKE_RUN:
+        if b - a <= SPIKE_RUN and gated[a:b].any():
             out[a:b] = far[a:b]
     return out
 
@@ -105,19 +123,19 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
     Gives one row per flagged record: ``table_name``, ``source``, ``record_id``, ``value``, ``reason``
     ('impossible', 'stuck' or 'spike', the first that holds) and ``z``, its standardised innovation.
 
-    A local-level Kalman filter runs over each source's readings in order of time and id; its noise is the
-    source's robust scatter about its level and the level's walk. Innovations beyond ``candidate`` are candidates
-    and withheld from the filter; after a few withheld in a row the level has moved and the filter starts again.
-    A reading is a spike, candidate or not, where it is further than ``threshold`` scatters from the median of the
-    readings around it, candidates left out, and the excursion ends within a few readings. Innovation variance that vanishes shows as runs of equal
-    values: 12 or more, with missing values passed over, are stuck. Impossible and stuck readings are kept from the
-    filter.
+    A local-level Kalman filter runs over each source's readings in order of time and id, and another one against it; their noise is the
+    source's robust scatter about its level and the level's walk. Innovations beyond ``candidate`` are gated: withheld
+    from the filter; after a few withheld in a row the level has moved and the filter starts again. An innovation beyond 3 in either
+    direction opens an excursion. It is a spike where it ends within a few readings and they are confirmed to lie further than
+    ``threshold`` scatters from the median of the readings around, gated ones left out. Where the innovation variance of
+    a filter that follows every reading is nothing over 12 or more readings, missing values passed over, these
+    are stuck. Impossible and stuck readings are kept from the level's filters.
 
     Null and NaN are passed over. Rows with the same source, time and id are one record. Null sources are one
     source; rows without time or id are left out. Sources with fewer than eight readings have no spikes. Empty
     tables give no rows.
 
-    Two shuffles: by source and day, to count and to look up the chunk, then by source and chunk. A source with a
+    Two shuffles: by source and day, whose result is written once, counted and looked up with its chunk, then by source and chunk. A source with a
     third of all rows becomes many chunks of ``chunk`` readings, each seeing at least 96 readings on either side (from as
     many chunks as it takes),
     so runs and spikes at the edges are whole.
@@ -135,7 +153,7 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
     for p in parts[1:]:
         rec = rec.unionByName(p)
     rec = rec.withColumn("day", F.floor(F.col("t") / DAY_US).cast("int")).repartition("tab", "src", "day")
-    rec = rec.groupBy("tab", "src", "day", "t", "rid").agg(F.max("y").alias("y"))
+    rec = materialize(rec.groupBy("tab", "src", "day", "t", "rid").agg(F.max("y").alias("y")), "readings")
     per_day = rec.groupBy("tab", "src", "day").agg(F.count("*").alias("n"))
     by = W.partitionBy("tab", "src").orderBy("day")
     plan = per_day.withColumn("c", F.floor((F.sum("n").over(by) - F.col("n")) / chunk)).withColumn("c", F.dense_rank().over(W.partitionBy("tab", "src").orderBy("c")))
@@ -158,7 +176,7 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
             zs = np.full(len(y), np.nan)
             groups = []
             for a, b in zip(at[:-1], at[1:]):
-                stuck = runs_of_equals(y[a:b]) >= STUCK_RUN
+                stuck = vanished_variance(np.diff(y[a:b], prepend=np.nan), STUCK_RUN)
                 use = np.flatnonzero(possible[a:b] & ~stuck)  # what is normal is learned from the others
                 why[a:b][stuck] = 2
                 if len(use) >= 8:
@@ -174,11 +192,15 @@ def implausible_readings(tables: Sequence[Readings], candidate: float = 4.0, thr
                 grid = np.full((len(part[-1][0]), len(part)), np.nan)
                 for c, g in enumerate(part):
                     grid[: len(g[0]), c] = g[1]
-                z = local_level_innovations(grid, np.array([g[2] for g in part]), np.array([g[3] for g in part]), candidate)
+                back = np.full_like(grid, np.nan)
+                for c, g in enumerate(part):
+                    back[: len(g[0]), c] = g[1][::-1]
+                r, q = np.array([g[2] for g in part]), np.array([g[3] for g in part])
+                z = local_level_innovations(np.concatenate([grid, back], axis=1), np.append(r, r), np.append(q, q), candidate)
                 for c, g in enumerate(part):
-                    zc = z[: len(g[0]), c]
-                    zs[g[0]] = zc
-                    why[g[0][spike_mask(g[1], zc, g[2], candidate, threshold)]] = 3
+                    both = np.stack([z[: len(g[0]), c], z[: len(g[0]), len(part) + c][::-1]])
+                    zs[g[0]] = both[0]
+                    why[g[0][spike_mask(g[1], both, g[2], candidate, threshold)]] = 3
             why[~possible] = 1
             hit = np.flatnonzero((why > 0) & own)
             if len(hit):

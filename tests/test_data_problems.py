@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import math
 from collections import defaultdict
 
@@ -6,13 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions.kalman import smooth_local_trend
+from strandline.functions.kalman import local_level_innovations, smooth_local_trend
 from strandline.functions.relative_rank import RelativeRankSketch
 from strandline.operators.impute import Category, Number, chow_liu, fill_missing_values, mutual_information, posteriors
 from strandline.operators.orphans import Reference, folded_name, orphan_cascade, orphans_at
 from strandline.operators.percentiles import merge_sketches, read_percentiles, sketch_groups
 from strandline.operators.regular_grid import regular_grid
-from strandline.operators.spikes import Readings, implausible_readings, spike_mask
+from strandline.operators.spikes import Readings, implausible_readings, spike_mask, vanished_variance
 from strandline.operators.trailing import TwoStackQueue, trailing_totals, two_stack_windows
 
 NAN = float("nan")
@@ -326,10 +327,23 @@ def test_planted_readings_are_found_whole_and_in_chunks(spark):
         assert {r["reason"] for r in out} == {"impossible", "stuck", "spike"}
 
 
-def test_spikes_need_no_candidate():
+def test_spikes_come_from_innovations():
     y = np.random.default_rng(11).normal(10, 0.2, 60)
-    y[30] += 3
-    assert np.flatnonzero(spike_mask(y, np.zeros(60), 0.04, 4.0, 8.0)).tolist() == [30]
+    y[30:32] += 3
+    z = local_level_innovations(np.stack([y, y[::-1]], axis=1), np.full(2, 0.04), np.full(2, 0.0004), 4.0)
+    both = np.stack([z[:, 0], z[::-1, 1]])
+    assert np.flatnonzero(spike_mask(y, both, 0.04, 4.0, 8.0)).tolist() == [30, 31]
+    assert not spike_mask(y, np.zeros((2, 60)), 0.04, 4.0, 8.0).any()
+
+
+@pytest.mark.parametrize("n", [0, 5, 12, 40])
+def test_innovation_variance_that_vanishes(n):
+    y = np.round(np.random.default_rng(n).normal(0, 1, n), 0)
+    y[3:18] = 7.0
+    y[20:31] = 5.0
+    still = vanished_variance(np.diff(y, prepend=np.nan), 12)
+    runs = np.array([len(list(g)) for v, g in itertools.groupby(y) for g in [list(g)] for _ in g])
+    assert still.tolist() == (runs >= 12).tolist()
 
 
 def test_stuck_run_over_a_short_chunk(spark):
