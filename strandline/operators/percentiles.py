@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +71,11 @@ def merge_sketches(df: DataFrame, keys: Sequence[str], salts: int = 32) -> DataF
 def sketch_groups(df: DataFrame, keys: Sequence[str], value: str, record_id: str | None = None, section: int = 32, high: bool = True) -> DataFrame:
     """One sketch per ``keys``: columns ``keys`` and ``sketch`` (binary). Null and NaN are no values.
 
-    Rows with the same ``record_id`` are one record (its largest values count); a null id is one record of its own
+    Rows with the same ``record_id`` and keys are one record (its largest value counts); a null id is one record of its own
     for each row. A null key is a group. A group without values gives no sketch. Other columns are ignored.
 
-    Sketches are built where the rows are; only sketches, never the values of a group, meet in one task.
+    Without ``record_id`` sketches are built where the rows are; with it rows are first spread by id to tell repeats. Then only
+    sketches, never the values of a group, meet in one task.
     """
     keys = list(keys)
     x = F.col(value).cast("double")
@@ -80,10 +83,12 @@ def sketch_groups(df: DataFrame, keys: Sequence[str], value: str, record_id: str
     if record_id:
         spread = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id()))
         rows = rows.withColumn("_id", spread if dict(rows.dtypes)["_id"] == "string" else F.coalesce(F.col("_id"), -F.monotonically_increasing_id() - 2))
-        rows = rows.groupBy("_id").agg(*[F.max(k).alias(k) for k in keys], F.max("_x").alias("_x")).drop("_id")
+        rows = rows.groupBy("_id", *keys).agg(F.max("_x").alias("_x")).drop("_id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        task = TaskContext.get()
+        seeds = itertools.count((task.partitionId() if task else 0) << 32)  # the same when a task is run again
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
@@ -97,7 +102,7 @@ def sketch_groups(df: DataFrame, keys: Sequence[str], value: str, record_id: str
             at = np.append(np.flatnonzero(np.append(True, np.diff(code[order]) != 0)), len(x))
             made = []
             for a, z in zip(at[:-1], at[1:]):
-                s = RelativeRankSketch(section, high=high)
+                s = RelativeRankSketch(section, high=high, seed=next(seeds))
                 s.update(x[a:z])
                 made.append(s.to_bytes())
             head = t.select(keys).take(pa.array(order[at[:-1]])).combine_chunks()

@@ -279,6 +279,32 @@ def test_sketch_errors_stay_within_what_it_says(high):
     assert (tail <= 0.05 * np.array([0.01, 0.001] if high else [0.001, 0.01]) + 2e-5).all()  # relative to the rank from the protected end
 
 
+def test_errors_of_many_equal_parts_cancel():
+    rng = np.random.default_rng(12)
+    q = np.array([0.05, 0.25, 0.5, 0.75])
+    off = []
+    for trial in range(6):
+        whole, xs = RelativeRankSketch(seed=trial), []
+        for _ in range(1000):
+            part = RelativeRankSketch()
+            x = rng.normal(0, 1, 500)
+            part.update(x)
+            whole.merge(part)
+            xs.append(x)
+        xs = np.sort(np.concatenate(xs))
+        v = whole.quantiles(q)
+        assert (np.abs(np.searchsorted(xs, v, "right") / len(xs) - q) <= whole.rank_error(v)).all()
+        at = xs[(q * len(xs)).astype(int)]
+        kept, upto = whole._weighted()
+        told = np.append(0, upto)[np.searchsorted(kept, at, "right")]
+        off.append((told - np.searchsorted(xs, at, "right")) / len(xs) / whole.rank_error(at))
+    off = np.array(off)  # shares of the bound
+    assert np.abs(off).max() <= 1 and np.abs(off.mean()) < 0.15 and np.abs(off.mean(axis=0)).max() < 0.3
+    a, b = RelativeRankSketch(), RelativeRankSketch()
+    a.update(x), b.update(x)
+    assert a.to_bytes() == b.to_bytes() and RelativeRankSketch(seed=1).number != a.number
+
+
 def test_percentiles_of_groups_and_merged_days(spark):
     rng = np.random.default_rng(7)
     rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else "b", i % 5, [float(v), None, NAN][0 if i % 11 else 1 + i % 2]) for i, v in enumerate(rng.normal(50, 10, 6000))]
