@@ -5,31 +5,44 @@ from __future__ import annotations
 import numpy as np
 
 
-def trend_noise(t: np.ndarray, y: np.ndarray, fallback: float) -> tuple[float, float]:
-    """Observation variance and level variance per second of one series, by the method of moments.
+#: What :func:`trend_moments` adds up.
+MOMENTS = ("n", "aa", "ab", "bb", "ae", "be", "dt", "steps")
+
+
+def trend_moments(t: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sums from which :func:`trend_noise` gets the noise of a series; those of its parts add up.
 
     The error of a reading against the line through its neighbours has variance r (1 + w^2 + (1-w)^2) from the
-    readings and q d1 d2 / (d1 + d2) from the level's walk; r and q are fitted to the squared errors by least squares.
-    ``fallback``: variance of the series, from which both are taken when there are few readings.
+    readings and q d1 d2 / (d1 + d2) from the level's walk. Squared errors far beyond the part's median count as that many
+    medians. Only readings in ``own`` are counted, their neighbours need not be.
     """
-    fallback = fallback if np.isfinite(fallback) and fallback > 0 else 1.0
     d = np.diff(t)
     d1, d2 = d[:-1], d[1:]
-    use = (d1 > 0) & (d2 > 0)
-    if use.sum() < 6:
-        step = np.median(d[d > 0]) if (d > 0).any() else 3600.0
-        return 0.1 * fallback, 0.1 * fallback / step
+    use = (d1 > 0) & (d2 > 0) & own[1:-1]
+    steps = d[(d > 0) & own[1:]]
     d1, d2 = d1[use], d2[use]
     w = d2 / (d1 + d2)
     e = y[1:-1][use] - (w * y[:-2][use] + (1 - w) * y[2:][use])
     a = 1 + w**2 + (1 - w) ** 2
     b = d1 * d2 / (d1 + d2)
-    e2 = np.minimum(e**2, 25 * max(np.median(e**2), 1e-12))
-    m = np.array([[np.sum(a * a), np.sum(a * b)], [np.sum(a * b), np.sum(b * b)]])
-    v = np.array([np.sum(a * e2), np.sum(b * e2)])
-    both = v[0] / m[0, 0], v[1] / m[1, 1]
-    det = m[0, 0] * m[1, 1] - m[0, 1] ** 2
-    r, q = ((m[1, 1] * v[0] - m[0, 1] * v[1]) / det, (m[0, 0] * v[1] - m[0, 1] * v[0]) / det) if det > 1e-9 * m[0, 0] * m[1, 1] else (both[0] / 2, both[1] / 2)
+    e2 = e**2
+    if len(e2) >= 6:
+        e2 = np.minimum(e2, 25 * max(np.median(e2), 1e-12))
+    return np.array([len(e2), a @ a, a @ b, b @ b, a @ e2, b @ e2, steps.sum(), len(steps)], dtype=float)
+
+
+def trend_noise(moments: np.ndarray, fallback: float) -> tuple[float, float]:
+    """Observation variance and level variance per second of one series, least squares over its moments.
+
+    ``fallback``: variance of the series, from which both are taken when there are few readings.
+    """
+    n, aa, ab, bb, ae, be, dt, steps = np.nan_to_num(moments)
+    fallback = fallback if np.isfinite(fallback) and fallback > 0 else 1.0
+    if n < 6:
+        return 0.1 * fallback, 0.1 * fallback / (dt / steps if steps else 3600.0)
+    both = ae / aa, be / bb
+    det = aa * bb - ab**2
+    r, q = ((bb * ae - ab * be) / det, (aa * be - ab * ae) / det) if det > 1e-9 * aa * bb else (both[0] / 2, both[1] / 2)
     if r <= 0:
         r, q = 0.02 * both[0], both[1]
     if q <= 0:
@@ -38,17 +51,18 @@ def trend_noise(t: np.ndarray, y: np.ndarray, fallback: float) -> tuple[float, f
 
 
 def smooth_local_trend(
-    t: np.ndarray, y: np.ndarray, r: np.ndarray, q: np.ndarray, damping: float = 1e-3
+    t: np.ndarray, y: np.ndarray, r: np.ndarray, q: np.ndarray, damping: float = 1e-3, typical: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Level and its variance at all times, by a Kalman filter and a Rauch-Tung-Striebel pass.
 
     ``t``, ``y``: (steps, lanes), times in seconds that do not fall, values with NaN where there is no reading.
     ``r``, ``q``: per lane, the variance of a reading and of the level's walk per second. The slope walks with
-    ``damping`` times what would carry the level's own walk over the typical step. Lanes without a reading give NaN.
+    ``damping`` times what would carry the level's own walk over the ``typical`` step (the lane's median if not given). Lanes without a reading give NaN.
     """
     steps, lanes = t.shape
     dt = np.diff(t, axis=0, prepend=t[:1])
-    typical = np.array([np.median(c[c > 0]) if (c > 0).any() else 1.0 for c in dt.T])
+    if typical is None:
+        typical = np.array([np.median(c[c > 0]) if (c > 0).any() else 1.0 for c in dt.T])
     qs = damping * q / typical**2
     seen = ~np.isnan(y)
     first = np.where(seen.any(0), seen.argmax(0), 0)

@@ -206,8 +206,8 @@ def test_grid(spark):
     rows += rows[:3]
     df = spark.createDataFrame(rows, "id long, src string, ts timestamp_ntz, v double, slot string, t int").withColumnRenamed("src", "station")
     cad = spark.createDataFrame([("a", 60), ("b", None)], "station string, cadence_minutes int")
-    whole = regular_grid(df, "station", "ts", ["v"], "id", cad, block_days=400).toPandas().sort_values(["station", "slot"], ignore_index=True)
-    parts = regular_grid(df, "station", "ts", ["v"], "id", cad, block_days=5).toPandas().sort_values(["station", "slot"], ignore_index=True)
+    whole = regular_grid(df, "station", "ts", ["v"], "id", cad).toPandas().sort_values(["station", "slot"], ignore_index=True)
+    parts = regular_grid(df, "station", "ts", ["v"], "id", cad, block_slots=120, margin_slots=24).toPandas().sort_values(["station", "slot"], ignore_index=True)
     assert len(whole) == len(parts) == 430 and whole.missing.sum() == parts.missing.sum() == 42
     assert (whole.slot == parts.slot).all() and (whole.n_records == parts.n_records).all() and not whole.v.isna().any()
     a = whole[whole.station == "a"].reset_index(drop=True)
@@ -217,6 +217,18 @@ def test_grid(spark):
     assert np.abs(parts.v - whole.v).mean() < 0.1
 
 
+@pytest.mark.parametrize("every", [60, 1440])
+def test_grid_of_blocks_is_that_of_the_whole_series(spark, every):
+    rng = np.random.default_rng(every)
+    level = 50 + np.cumsum(rng.normal(0, 1, 1600))
+    rows = [("s", T0 + dt.timedelta(minutes=every * i), float(v)) for i, v in enumerate(level + rng.normal(0, 1, 1600)) if i % 11 and not 600 <= i < 640]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, v double")
+    whole, parts = (regular_grid(df, "s", "ts", ["v"], default_minutes=every, block_slots=n).toPandas().sort_values("slot", ignore_index=True) for n in (2048, 480))
+    assert len(whole) == len(parts) == 1599
+    assert (np.abs(parts.v - whole.v) <= 0.2 * whole.v_sd).mean() > 0.98 and (np.abs(parts.v_sd / whole.v_sd - 1) < 0.05).mean() > 0.98
+    assert 0.5 < np.abs(whole.v - level[1:]).mean() < 2.0
+
+
 def test_grid_edges(spark):
     schema = "station string, ts timestamp, v double"
     assert regular_grid(spark.createDataFrame([], schema), "station", "ts", ["v"]).count() == 0
