@@ -96,6 +96,18 @@ def row_anomalies_robust(a: Column, threshold: float = 3.5, scale: float = 1.482
     return F.transform(row_robust_zscore(a, scale), lambda z: beyond(z, threshold))
 
 
+def row_rolling_mean(a: Column, window: int) -> Column:
+    """Means along each row over the last ``window`` positions, shorter at the start; NaN is skipped, NaN where nothing is left."""
+    if window < 1:
+        raise ValueError("window must be at least 1")
+
+    def mean(x: Column, i: Column) -> Column:
+        near = F.filter(F.slice(x, F.greatest(i - (window - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(window))), lambda v: ~F.isnan(v))
+        return F.aggregate(near, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(near), F.lit(0))
+
+    return let(doubles(a), lambda x: F.transform(x, lambda v, i: F.coalesce(mean(x, i), F.lit(NAN))))
+
+
 def column_reduce(df: DataFrame, array: str) -> DataFrame:
     """Per array position over all rows: ``pos``, ``sum``, ``mean``, ``min``, ``max``; NaN in a column gives NaN.
 

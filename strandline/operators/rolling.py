@@ -16,7 +16,7 @@ SORTED = ("median", "mad", "median_upper", "mad_upper", "robust_zscore", "anomal
 
 def rolling(
     df: DataFrame, value: str, window: int, order: Sequence[str], series: Sequence[str] = (), stats: Sequence[str] = ("mean",), mask: str | None = None,
-    prefix: str = "rolling_", full_only: bool = False, threshold: float = 3.0, whole_rows: int | None = None,
+    prefix: str = "rolling_", full_only: bool = False, threshold: float = 3.0, whole_rows: int | None = None, strict_mask: bool = False,
 ) -> DataFrame:
     """``df`` with a column ``<prefix><stat>`` for each of ``stats`` over the last ``window`` rows of each series.
 
@@ -26,7 +26,7 @@ def rolling(
     MAD, 0 where the MAD vanishes): NaN for short windows and for any NaN in the window; median_upper and mad_upper
     take the upper of two middle values. anomaly: |x - median| > ``threshold`` 1.4826 MAD; anomaly_std: |x - mean| >
     ``threshold`` std; both false for short windows. mean_masked, median_masked: of the rows whose ``mask`` is not zero and
-    whose value is not NaN, shorter windows at the start.
+    whose value is not NaN, shorter windows at the start; with ``strict_mask`` a NaN or null in a valid row fails the query.
 
     Windows longer than a series give only short windows. Rows must be in a total order by ``order``; ties are broken
     at random. One shuffle by series and one sort for all statistics, which share the window's values; a series too
@@ -41,6 +41,9 @@ def rolling(
     x, xn = to_nan(F.col(value)), to_null(F.col(value))
     full = F.count(F.lit(1)).over(w) == window
     need = set(stats)
+    if strict_mask and mask is not None:
+        bad = (F.col(mask).cast("int") != 0) & F.isnan(x)
+        xn = F.when(bad, F.raise_error(F.lit("a valid row holds no number")).cast("double")).otherwise(xn)
     out = b.df.withColumn("_x", x).withColumn("_xn", xn)
     helpers = ["_x", "_xn"]
 

@@ -185,7 +185,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return stations.unionByName(oil)
 
 
+def p3_station_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of the stations: records and readings with a temperature in each period."""
+    return _station_grid(spark, d).select("station_id", "slot", "n_records", "missing", F.col("temp_C_n").alias("n_temp"))
+
+
 P3_SQL = {
+    "p3_station_slots": """
+with rec as (select distinct e.station_id, reading_id, cadence_minutes * 60 as p, timestamp, cast(floor(epoch(timestamp)) as bigint) as s,
+               max(case when temp_C between -60 and 60 and not isnan(temp_C) then temp_C end) over (partition by e.station_id, reading_id, timestamp) as v
+             from environmental_sensors_missing e join sensor_stations using (station_id)),
+slots as (select station_id, p, s // 86400 * 86400 + (s % 86400) // p * p as slot, count(*) as n, count(v) as n_temp from rec group by 1, 2, 3),
+span as (select station_id, p, min(slot) lo, max(slot) hi from slots group by 1, 2),
+grid as (select station_id, unnest(generate_series(lo, hi, p)) as slot from span)
+select g.station_id, make_timestamp(g.slot * 1000000) as slot, coalesce(n, 0) as n_records, n is null as missing, coalesce(n_temp, 0) as n_temp
+from grid g left join slots s on s.station_id = g.station_id and s.slot = g.slot""",
     "p3_found": """
 with rec as (select e.station_id, cadence_minutes * 60 as p, cast(floor(epoch(timestamp)) as bigint) as s
              from environmental_sensors_missing e join sensor_stations using (station_id)),
@@ -223,6 +237,29 @@ def p5_merged_days(spark: SparkSession, d: str) -> DataFrame:
     return read_percentiles(merge_sketches(sketch_groups(days, ["location", "day"], "pm25_ugm3", "reading_id"), ["location"]), ["location"], _QUANTILES)
 
 
+def p5_within_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile's true rank lies within its stated error."""
+    got = p5_merged_days(spark, d).withColumn("location", F.coalesce("location", F.lit("")))
+    rows = _pm25(spark, d).select("reading_id", F.coalesce("location", F.lit("")).alias("location"), "pm25_ugm3").where("pm25_ugm3 is not null and not isnan(pm25_ugm3)")
+    rows = rows.groupBy("reading_id", "location").agg(F.max("pm25_ugm3").alias("x"))
+    side = got.groupBy("location").agg(F.collect_list(F.struct("q", "value", "n", "rank_error")).alias("qs"))  # a few values for each location
+    per = rows.join(side, "location").groupBy("location").agg(
+        F.first("qs").alias("qs"),
+        *[F.count(F.when(F.col("x") < F.col("qs")[i]["value"], 1)).alias(f"below{i}") for i in range(len(_QUANTILES))],
+        *[F.count(F.when(F.col("x") <= F.col("qs")[i]["value"], 1)).alias(f"upto{i}") for i in range(len(_QUANTILES))],
+    )
+    each = F.array(*[F.struct(F.col("qs")[i]["q"].alias("q"), F.col("qs")[i]["n"].alias("n"), F.col(f"below{i}").alias("lo"), F.col(f"upto{i}").alias("hi"), F.col("qs")[i]["rank_error"].alias("e")) for i in range(len(_QUANTILES))])
+    off = F.greatest(F.col("c.lo") / F.col("c.n") - F.col("c.q"), F.col("c.q") - F.col("c.hi") / F.col("c.n"))
+    return per.select("location", F.explode(each).alias("c")).select("location", F.col("c.q").alias("q"), F.col("c.n").alias("n"), (off <= F.col("c.e") + 1 / F.col("c.n")).alias("within"))
+
+
+P5_SQL = {
+    "p5_within_bounds": f"""
+with rec as (select distinct reading_id, coalesce(location, '') as location, pm25_ugm3 from climate_pm25_timeseries where pm25_ugm3 is not null and not isnan(pm25_ugm3))
+select location, q, count(*) as n, true as within from rec, (select unnest([{', '.join(f'{q}::double' for q in _QUANTILES)}]) as q) group by 1, 2"""
+}
+
+
 # 6 implausible measurements -------------------------------------------------------------------------------------
 
 
@@ -240,6 +277,21 @@ def p6_flagged(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_flagged(spark, d).select("table_name", F.col("record_id").alias("reading_id")).distinct()
 
+def p6_impossible_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """The readings flagged as impossible or stuck."""
+    return p6_flagged(spark, d).where("reason <> 'spike'").select("table_name", F.col("record_id").alias("reading_id"), "reason").distinct()
+
+
+P6_SQL = {
+    "p6_impossible_stuck": """
+with rec as (select distinct 'climate_pm25_timeseries' as table_name, sensor_id as src, reading_id, timestamp, pm25_ugm3 as y, 0 as lo, 1000 as hi from climate_pm25_timeseries
+  union select distinct 'iot_sensors_multiseries', device_id, reading_id, timestamp, sensor_01, -50, 150 from iot_sensors_multiseries),
+seen as (select *, case when y = lag(y) over w then 0 else 1 end as new from rec where y is not null and not isnan(y) window w as (partition by table_name, src order by timestamp, reading_id)),
+runs as (select *, sum(new) over (partition by table_name, src order by timestamp, reading_id) as run from seen),
+sized as (select *, count(*) over (partition by table_name, src, run) as n from runs)
+select distinct table_name, reading_id, case when y < lo or y > hi then 'impossible' else 'stuck' end as reason from sized where y < lo or y > hi or n >= 12"""
+}
+
 P4_SQL["p4_report"] = (
     "with found as (" + P4_SQL["p4_found"] + ") select 'holidays_events' as table_name, strftime(date, '%Y-%m') as month, 'direct' as kind, count(*) as n "
     "from (select distinct holiday_id, date from holidays_events) join found using (holiday_id) group by 2"
@@ -248,9 +300,9 @@ P4_SQL["p4_report"] = (
 
 QUERIES = {
     "p1_found": p1_found, "p1_trailing_totals": p1_trailing_totals, "p2_found": p2_found, "p2_filled": p2_filled,
-    "p3_found": p3_found, "p3_station_grid": p3_station_grid, "p3_oil_grid": p3_oil_grid,
+    "p3_found": p3_found, "p3_station_grid": p3_station_grid, "p3_oil_grid": p3_oil_grid, "p3_station_slots": p3_station_slots,
     "p4_found": p4_found, "p4_report": p4_report, "p4_cascade": p4_cascade,
-    "p5_percentiles": p5_percentiles, "p5_merged_days": p5_merged_days,
-    "p6_found": p6_found, "p6_flagged": p6_flagged,
+    "p5_percentiles": p5_percentiles, "p5_merged_days": p5_merged_days, "p5_within_bounds": p5_within_bounds,
+    "p6_found": p6_found, "p6_flagged": p6_flagged, "p6_impossible_stuck": p6_impossible_stuck,
 }
-SQL = {**P1_SQL, **P2_SQL, **P3_SQL, **P4_SQL}
+SQL = {**P1_SQL, **P2_SQL, **P3_SQL, **P4_SQL, **P5_SQL, **P6_SQL}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandline.functions import arrays, ieee
 from strandline.operators import normalize, reduce, rolling, scans
 from strandline.plans.pipeline import pipeline
-from strandline.sources.tables import constant_series, copy, table
+from strandline.runtime import written_path
+from strandline.sources.tables import constant_series, copy, csv_series, table, write_into
 
 ORDER, SERIES, W = ("ts", "event_id"), ("event_type",), 50
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,12 +178,12 @@ def winsorized_mean(spark, d):
     return reduce.winsorized_mean_of(lines(spark, d), "l_extendedprice", 0.1, ["l_returnflag"]).select("l_returnflag", rnd("winsorized_mean", 4).alias("winsorized_mean"))
 
 
-_DENSE = "with g as (select range as g from range(12)), v as (select l_suppkey % 15 as g, l_quantity as x from lineitem where l_suppkey % 15 not in (3, 4))"
+_DENSE = "with g as (select range as g from range(12)), v as (select l_suppkey % 9 as g, l_quantity as x from lineitem)"
 
 
 @query(_DENSE + f" select g.g, coalesce(sum(x), 0.0) as group_sum, {r('avg(x)', 'group_mean')}, {r('var_pop(x)', 'group_var')} from g left join v on v.g = g.g group by 1")
 def dense_groups(spark, d):
-    v = lines(spark, d).withColumn("g", F.col("l_suppkey") % 15).where("g not in (3, 4)")
+    v = lines(spark, d).withColumn("g", F.col("l_suppkey") % 9)  # groups 9 to 11 are empty
     return reduce.dense_groups(v, "l_quantity", "g", 12).select("g", "group_sum", rnd("group_mean").alias("group_mean"), rnd("group_var").alias("group_var"))
 
 
@@ -565,3 +566,50 @@ def feature_engineering(spark, d):
         w = scans.lagged(w, "o_totalprice", order, series, "lag", k, f"lag_{k}")
     lags = [F.nanvl(f"lag_{k}", F.lit(None)).alias(f"lag_{k}") for k in (1, 7)]
     return w.select("o_orderkey", "c_mktsegment", "n_name", "r_name", rnd("s7_mean", 3).alias("mean_7"), rnd("s7_std", 3).alias("std_7"), *lags, rnd("s28_median", 3).alias("median_28"))
+
+
+_WIN = 50
+
+
+@query(EV + f", s as (select event_type, avg(value) m, stddev_pop(value) sd from ev group by 1), z as (select event_id, ts, event_type, (value - m) / sd as z from ev join s using (event_type)) select event_id, {r(f'min(z) over {RUN}', 'y', 5)} from z")
+def pipeline_zscore_cumulative_min(spark, d):
+    return pipeline().zscore().cumulative_min().execute(events(spark, d), "value", ORDER, SERIES, "y").select("event_id", rnd("y", 5).alias("y"))
+
+
+@query(EV + f" select event_id, {r(f'case when count(*) over {OVER} = 50 then median(value) over {OVER} end', 'y', 4)} from ev")
+def pipeline_rolling_median(spark, d):
+    return pipeline().rolling_median(_WIN).execute(events(spark, d), "value", ORDER, SERIES, "y").select("event_id", rnd("y", 4).alias("y"))
+
+
+@query(_EW + f" select event_id, {r('v', 'variance', 2)}, {r('sqrt(v)', 'deviation', 3)} from e")
+def pipeline_weighted_variance(spark, d):
+    """The stages ewvar and ewstd."""
+    out = pipeline().ewstd(0.2).execute(pipeline().ewvar(0.2).execute(events(spark, d), "value", ORDER, SERIES, "v"), "value", ORDER, SERIES, "s")
+    return out.select("event_id", rnd("v", 2).alias("variance"), rnd("s", 3).alias("deviation"))
+
+
+_ROW_WINDOW = "[list_avg(list_slice(embedding::double[], greatest(i - 4, 1), i)) for i in range(1, len(embedding) + 1)]"
+
+
+@query(f"select vec_id, pos - 1 as pos, round(m + 1e-10, 5) + 0.0 as mean from (select vec_id, unnest({_ROW_WINDOW}) as m, generate_subscripts(embedding, 1) as pos from embeddings)")
+def rolling_mean_rows(spark, d):
+    """Windows along the rows of a matrix (axis 1)."""
+    out = matrix(spark, d).select("vec_id", F.posexplode(arrays.row_rolling_mean(F.col("a"), 5)).alias("pos", "m"))
+    return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), rnd("m", 5).alias("mean"))
+
+
+@query("select s_suppkey, s_name, s_acctbal from supplier")
+def csv_round_trip(spark, d):
+    """A table written as CSV and read with its schema."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+    path = written_path(spark, "csv")
+    s.write.csv(path, header=True)
+    return csv_series(spark, path, s.schema)
+
+
+@query(f"select event_id, {r('2.5 * value', 'y')} from events")
+def execute_into(spark, d):
+    """A pipeline whose result is written to a sink and read again."""
+    path = written_path(spark, "sink")
+    n = write_into(pipeline().scale(2.5).execute(events(spark, d), "value", ORDER, SERIES, "y").select("event_id", rnd("y").alias("y")), path)
+    return spark.read.parquet(path).where(F.lit(n) >= 0)

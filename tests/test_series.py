@@ -64,6 +64,20 @@ def test_rolling_columns(spark):
     assert [[got[i, j] for j in (0, 1)] for i in range(4)] == [[1, 2], [2, 3], [4, 5], [6, 7]]
 
 
+def test_rolling_rows(spark):
+    df = matrix_from(spark, [[1.0, 2.0, NAN, 4.0], [NAN, NAN, 3.0], []]).withColumn("x", F.lit(1))
+    got = [r[0] for r in df.orderBy("row").select(arrays.row_rolling_mean(F.col("a"), 2)).collect()]
+    assert got[0] == [1.0, 1.5, 2.0, 4.0] and got[1][2] == 3.0 and all(v != v for v in got[1][:2]) and got[2] == []
+
+
+def test_strict_mask(spark):
+    df = spark.createDataFrame([(1, 1.0, 1), (2, NAN, 0), (3, 3.0, 1)], "i long, x double, m int")
+    out = rolling.rolling(df, "x", 2, ["i"], stats=["mean_masked"], mask="m", strict_mask=True).orderBy("i").collect()
+    assert [r["rolling_mean_masked"] for r in out] == [1.0, 1.0, 3.0]
+    with pytest.raises(Exception, match="a valid row holds no number"):
+        rolling.rolling(df.withColumn("m", F.lit(1)), "x", 2, ["i"], stats=["mean_masked"], mask="m", strict_mask=True).collect()
+
+
 def test_window_must_be_positive(series):
     with pytest.raises(ValueError):
         roll(series, [1], 0, "sum")
