@@ -97,7 +97,9 @@ def _unresolved(child: DataFrame, parent: DataFrame, r: Reference) -> DataFrame:
     parent = parent.select(*[F.col(p).alias(k) for p, k in zip(r.parent_cols, keys)], *dates).where(" and ".join(f"`{k}` is not null" for k in keys))
     if r.at:
         return orphans_at(child, keys, r.at, parent, "_opened", "_closed")
-    return child.where(" and ".join(f"`{k}` is not null" for k in keys)).join(parent.select(*keys).distinct(), keys, "left_anti")
+    asked = child.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).distinct()
+    missing = asked.join(parent.select(*keys).distinct(), keys, "left_anti")
+    return child.join(missing, keys, "left_semi")
 
 
 def orphan_cascade(

@@ -123,7 +123,7 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, tuple[float, Colum
     rank = F.element_at(F.array(*ranks), F.col("k") + 1) - F.element_at(F.array(*[F.col(f"_below{k}") for k in range(len(names))]), F.col("k") + 1)
     hit = counted.where((F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank))
     found = hit.groupBy(*ks).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_f{k}") for k in range(len(names))])
-    head = first.select(*by, "n", "has_nan")
+    head = first.select(*by, "n", "has_nan", *[f"_rank{k}" for k in range(len(names))])
     if by:
         on = F.lit(True)
         for i, b in enumerate(by):
@@ -131,7 +131,9 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, tuple[float, Colum
         out = head.join(found, on, "left")
     else:
         out = head.join(F.broadcast(found), F.lit(True), "left")  # one row each
-    return out.select(*by, "n", "has_nan", *[F.col(f"_f{k}").alias(name) for k, name in enumerate(names)])
+    # the digests' error is within the brackets; were it not, that must not pass for an empty group
+    lost = [F.col(f"_f{k}").isNull() & F.col(f"_rank{k}").between(0, F.col("n") - 1) for k in range(len(names))]
+    return out.select(*by, "n", "has_nan", *[F.when(lost[k], F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).otherwise(F.col(f"_f{k}")).alias(name) for k, name in enumerate(names)])
 
 
 def quantiles_of(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
