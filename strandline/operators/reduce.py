@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandline.functions.ieee import NAN, to_nan, to_null
+from strandline.runtime import materialize
 
 
 def _any_nan(x: Column) -> Column:
@@ -75,7 +76,8 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, tuple[float, Colum
 
     No group is sorted or collected: a first aggregate finds with mergeable digests a narrow bracket of values around
     each rank, a second counts the rows below the brackets and, for the values inside, rows per value. Only those
-    distinct values, at most a few ten-thousandths of a large group's, are ranked.
+    distinct values, at most a few ten-thousandths of a large group's, are ranked. The brackets and the result, a row per
+    group, are written out: they are read several times, and joins with tables known to be small leave the rows where they are.
     """
     by = list(by)
     x = to_nan(F.col(value))
@@ -98,7 +100,7 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, tuple[float, Colum
             lo = F.when(F.col("n") >= least, F.col("_p")[index[name, width, False]]).otherwise(lo)
             hi = F.when(F.col("n") >= least, F.col("_p")[index[name, width, True]]).otherwise(hi)
         first = first.withColumn(f"_lo{k}", lo).withColumn(f"_hi{k}", hi).withColumn(f"_rank{k}", at[name][1].cast("long"))
-    first = first.drop("_p", "_min", "_max")
+    first = materialize(first.drop("_p", "_min", "_max"), "brackets")
     keyed = first.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], *[F.col(f"_{e}{k}") for k in range(len(names)) for e in ("lo", "hi", "rank")])
     finite = rows.where(~F.isnan("_x"))
     if by:
@@ -133,7 +135,8 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, tuple[float, Colum
         out = head.join(F.broadcast(found), F.lit(True), "left")  # one row each
     # the digests' error is within the brackets; were it not, that must not pass for an empty group
     lost = [F.col(f"_f{k}").isNull() & F.col(f"_rank{k}").between(0, F.col("n") - 1) for k in range(len(names))]
-    return out.select(*by, "n", "has_nan", *[F.when(lost[k], F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).otherwise(F.col(f"_f{k}")).alias(name) for k, name in enumerate(names)])
+    out = out.select(*by, "n", "has_nan", *[F.when(lost[k], F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).otherwise(F.col(f"_f{k}")).alias(name) for k, name in enumerate(names)])
+    return materialize(out, "order_statistics")
 
 
 def quantiles_of(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

@@ -2,16 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.functions.ieee import NAN, beyond, ieee_div, median_of_sorted, to_nan, to_null, upper_median_of_sorted
+from strandline.functions.ieee import NAN, beyond, ieee_div, median_of_sorted, to_nan, to_null
 from strandline.operators.blocks import blocks
+from strandline.runtime import column_numpy
 
 SUMS = ("sum", "mean", "var", "std", "count")
 SORTED = ("median", "mad", "median_upper", "mad_upper", "robust_zscore", "anomaly")
+#: Values of windows that are laid out side by side at a time.
+_AT_ONCE = 500_000
+
+
+def _middle_kernel(window: int, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Appends ``_ok`` (the window is full and free of NaN) and ``names`` of ``_med``, ``_mad``, ``_upper``, ``_away_upper``, null where not ok.
+
+    Rows come series by series in order, with their value ``_x`` and their number ``_k`` in the series, from 1. Only the
+    last values are kept from one batch to the next, so memory does not grow with a series.
+    """
+    lo, hi = (window - 1) // 2, window // 2
+
+    def middle(v: np.ndarray, low: int) -> np.ndarray:
+        s = np.partition(v, sorted({low, hi}), axis=1)
+        return s[:, hi] if low == hi else (s[:, low] + s[:, hi]) / 2
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = np.empty(0), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            k = column_numpy(t, "_k")
+            if not np.all((k == 1) | (k == np.append(last, k[:-1]) + 1)):
+                raise ValueError("rows of a window are out of order")
+            x, held = np.append(before, column_numpy(t, "_x")), len(before)
+            bad = np.append(0, np.cumsum(np.isnan(x)))
+            at = np.flatnonzero(k >= window) + held  # a full window lies within what is held and the batch
+            at = at[bad[at + 1] == bad[at + 1 - window]]
+            made = {n: np.full(len(k), np.nan) for n in names}
+            step = max(_AT_ONCE // window, 1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                for a in range(0, len(at), step):
+                    here = at[a : a + step]
+                    v = np.lib.stride_tricks.sliding_window_view(x, window)[here + 1 - window]
+                    for near, away, low in (("_med", "_mad", lo), ("_upper", "_away_upper", hi)):
+                        if near in made or away in made:
+                            m = middle(v, low)
+                            if near in made:
+                                made[near][here - held] = m
+                            if away in made:
+                                made[away][here - held] = middle(np.abs(v - m[:, None]), low)
+            ok = np.zeros(len(k), dtype=bool)
+            ok[at - held] = True
+            t = t.append_column("_ok", pa.array(ok))
+            for n in names:
+                t = t.append_column(n, pa.array(made[n], mask=~ok))
+            yield from t.combine_chunks().to_batches()
+            before, last = x[max(len(x) - window + 1, 0) :], int(k[-1])
+
+    return kernel
 
 
 def rolling(
@@ -29,8 +84,8 @@ def rolling(
     whose value is not NaN, shorter windows at the start; with ``strict_mask`` a NaN or null in a valid row fails the query.
 
     Windows longer than a series give only short windows. Rows must be in a total order by ``order``; ties are broken
-    at random. One shuffle by series and one sort for all statistics, which share the window's values; a series too
-    long for one task is worked on in blocks, see :func:`strandline.operators.blocks.blocks`.
+    at random. One shuffle by series and one sort for all statistics; medians and MADs are an Arrow kernel over the sorted
+    rows. A series too long for one task is worked on in blocks, see :func:`strandline.operators.blocks.blocks`.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
@@ -55,18 +110,24 @@ def rolling(
     add("_full", full)
     if need & {"sum", "mean", "var", "std", "zscore", "anomaly_std", "count"}:
         add("_n", F.count("_xn").over(w))
+    if "sum" in need:
+        add("_sum", F.sum("_xn").over(w))
     if need & {"mean", "zscore", "anomaly_std"}:
         add("_mean", F.avg("_xn").over(w))
     if need & {"var", "std", "zscore", "anomaly_std"}:
         add("_var", F.var_pop("_xn").over(w))
+    if "mean_masked" in need:
+        add("_mean_masked", F.avg(F.when(F.col(mask).cast("int") != 0, F.col("_xn"))).over(w))
+    if "median_masked" in need:
+        add("_kept", F.sort_array(F.collect_list(F.when(F.col(mask).cast("int") != 0, F.col("_xn"))).over(w)))
     if need & set(SORTED):
-        add("_win", F.collect_list("_x").over(w))
-        add("_ok", F.col("_full") & ~F.exists("_win", lambda v: F.isnan(v)))
-        add("_win", F.when(F.col("_ok"), F.sort_array("_win")))
-        add("_med", median_of_sorted(F.col("_win")))
-    if need & {"mad", "robust_zscore", "anomaly"}:
-        add("_away", F.sort_array(F.transform("_win", lambda v: F.abs(v - F.col("_med")))))
-        add("_mad", median_of_sorted(F.col("_away")))
+        wanted = {"_med": need & {"median", "robust_zscore", "anomaly"}, "_mad": need & {"mad", "robust_zscore", "anomaly"}, "_upper": need & {"median_upper"}, "_away_upper": need & {"mad_upper"}}
+        names = [n for n, used in wanted.items() if used]
+        # the window of the row numbers is what brings the rows of a series together in order
+        out = out.withColumn("_k", F.row_number().over(b.window()))
+        kinds = [T.StructField("_ok", T.BooleanType()), *[T.StructField(n, T.DoubleType()) for n in names]]
+        out = out.mapInArrow(_middle_kernel(window, names), T.StructType([*out.schema.fields, *kinds]))
+        helpers += ["_k", "_ok", *names]
     short = F.lit(full_only) & ~F.col("_full")
 
     def shown(ok: Column, c: Column) -> Column:
@@ -75,7 +136,7 @@ def rolling(
     made: dict[str, Column] = {}
     for s in stats:
         if s == "sum":
-            made[s] = shown(F.col("_n") > 0, F.sum("_xn").over(w))
+            made[s] = shown(F.col("_n") > 0, F.col("_sum"))
         elif s == "mean":
             made[s] = shown(F.col("_n") > 0, F.col("_mean"))
         elif s == "var":
@@ -92,11 +153,9 @@ def rolling(
         elif s == "mad":
             made[s] = F.when(F.col("_ok"), F.when(F.col("_mad") < 1e-12, 0.0).otherwise(F.col("_mad"))).otherwise(F.lit(NAN))
         elif s == "median_upper":
-            made[s] = shown(F.col("_ok"), upper_median_of_sorted(F.col("_win")))
+            made[s] = shown(F.col("_ok"), F.col("_upper"))
         elif s == "mad_upper":
-            add("_upper", upper_median_of_sorted(F.col("_win")))
-            add("_away_upper", F.sort_array(F.transform("_win", lambda v: F.abs(v - F.col("_upper")))))
-            made[s] = shown(F.col("_ok"), upper_median_of_sorted(F.col("_away_upper")))
+            made[s] = shown(F.col("_ok"), F.col("_away_upper"))
         elif s == "robust_zscore":
             z = F.lit(0.6745) * (F.col("_x") - F.col("_med")) / F.col("_mad")
             made[s] = F.when(F.col("_ok"), F.when(F.col("_mad") <= 1e-10, 0.0).otherwise(z)).otherwise(F.lit(NAN))
@@ -107,9 +166,8 @@ def rolling(
             std = F.sqrt("_var")
             made[s] = F.coalesce(F.col("_full") & (F.col("_n") >= 2) & (std > 0) & beyond(ieee_div(F.col("_x") - F.col("_mean"), std), threshold), F.lit(False))
         elif s == "mean_masked":
-            made[s] = F.coalesce(F.avg(F.when(F.col(mask).cast("int") != 0, F.col("_xn"))).over(w), F.lit(NAN))
+            made[s] = F.coalesce("_mean_masked", F.lit(NAN))
         elif s == "median_masked":
-            add("_kept", F.sort_array(F.collect_list(F.when(F.col(mask).cast("int") != 0, F.col("_xn"))).over(w)))
             made[s] = F.coalesce(median_of_sorted(F.col("_kept")), F.lit(NAN))
         else:
             raise ValueError(f"unknown statistic {s}")

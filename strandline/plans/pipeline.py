@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import ieee
 from strandline.operators import normalize, rolling, scans
 from strandline.operators.blocks import KNOWN_SHORT, WHOLE_ROWS, longest
+from strandline.runtime import materialize
 from strandline.sources.tables import write_into
 
 
@@ -156,6 +157,8 @@ class Pipeline:
         short = not any(s.name in _ORDERED for s in self.stages) or longest(df, series) <= WHOLE_ROWS
         now = Series(df.withColumn(result, ieee.to_nan(F.col(value))), result, tuple(order), tuple(series), KNOWN_SHORT if short else None)
         for i, stage in enumerate(self.stages):
+            if stage.name in _OFTEN_READ and any(s.name in _ORDERED for s in self.stages[:i]):
+                now = replace(now, df=materialize(now.df, "pipeline"))  # else the windows are worked out again by each pass
             try:
                 now = replace(now, df=_LOWER[stage.name](now, **dict(stage.params)))
             except ValueError as e:
@@ -224,6 +227,8 @@ _LOWER: dict[str, Callable[..., DataFrame]] = {
 
 
 _ORDERED = {"diff", "lag", "log_return", "pct_change", "ewma", "ewvar", "ewstd", "rolling_mean", "rolling_std", "rolling_median", "rolling_mad", "cumulative_min", "cumulative_max", "fill_forward", "prefix_sum", "convolve"}
+#: Stages that read their rows many times.
+_OFTEN_READ = {"robust_zscore"}
 
 
 def pipeline(mode: str = "safe") -> Pipeline:

@@ -263,3 +263,41 @@ def test_pipeline_errors_and_summary(spark, series, tmp_path):
     assert pipeline().scale(2).execute_into(series([1, 2, 3]), str(tmp_path / "out"), "x", ["i"]) == 3
     assert sorted(r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 4, 6]
     assert write_into(series_from(spark, [1]), str(tmp_path / "csv"), "csv") == 1
+
+
+@pytest.mark.parametrize("w", [1, 4, 5, 30])
+def test_rolling_medians_across_batches(spark, w):
+    rng = np.random.default_rng(w)
+    rows = [(s, i, None if s == "b" and i == 9 else float(v)) for s, n in (("a", 40), ("b", 23), ("c", 3), (None, 31)) for i, v in enumerate(np.append(rng.normal(size=n - 2).round(1), [NAN, 1.0]))]
+    df = spark.createDataFrame(rows, "s string, i int, x double")
+    stats = ["median", "mad", "median_upper", "mad_upper", "robust_zscore", "anomaly", "mean"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["s"], r["i"]): r for r in rolling.rolling(df, "x", w, ["i"], ["s"], stats, prefix="").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    x = {(s, i): NAN if v is None else v for s, i, v in rows}
+    for (s, i), r in got.items():
+        v = np.array([x[s, j] for j in range(max(i - w + 1, 0), i + 1)])
+        want = dict.fromkeys(stats[:5], NAN) | {"anomaly": False, "mean": NAN if np.isnan(v).all() else np.nanmean(v)}
+        if len(v) == w and not np.isnan(v).any():
+            med, up = np.median(v), np.sort(v)[w // 2]
+            mad = np.median(np.abs(v - med))
+            want |= {"median": med, "mad": mad if mad >= 1e-12 else 0.0, "median_upper": up, "mad_upper": np.sort(np.abs(v - up))[w // 2]}
+            want |= {"robust_zscore": 0.6745 * (v[-1] - med) / mad if mad > 1e-10 else 0.0, "anomaly": bool(mad >= 1e-12 and abs(v[-1] - med) > 3 * 1.4826 * mad)}
+        for k in stats:
+            assert r[k] == pytest.approx(want[k], nan_ok=True), (s, i, k)
+
+
+def test_robust_zscore_works_windows_out_once(spark):
+    """The stage reads its rows many times; medians and MADs of windows must not be worked out by each pass, nor by nested sorts."""
+    x = np.random.default_rng(3).normal(size=80)
+    df = series_from(spark, x)
+    out = pipeline().rolling_mad(10).map(lambda c: F.nanvl(c, F.lit(0.0))).robust_zscore().execute(df, "x", ["i"])
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in rolling.rolling(df, "x", 10, ["i"], (), ["median", "mad"])._jdf.queryExecution().optimizedPlan().toString()
+    mads = np.array([np.median(np.abs(v - np.median(v))) for v in np.lib.stride_tricks.sliding_window_view(x, 10)])
+    y = np.append(np.zeros(9), mads)
+    want = (y - np.median(y)) / (1.4826 * np.median(np.abs(y - np.median(y))))
+    assert [r["x"] for r in sorted(out.collect(), key=lambda r: r["i"])] == pytest.approx(list(want))
